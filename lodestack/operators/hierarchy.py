@@ -21,18 +21,16 @@ def _lookup(unresolved: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame
     """unresolved left-joined with state on (tree, ptr), hot pointers split into salted pieces."""
     hot = (
         unresolved.groupBy("tree", "ptr").count().filter(F.col("count") > hot_rows)
-        .select("tree", F.col("ptr").alias("hot_id"), F.ceil(F.col("count") / hot_rows).cast("int").alias("pieces"))
+        .select(F.col("tree").alias("hot_tree"), F.col("ptr").alias("hot_id"), F.ceil(F.col("count") / hot_rows).cast("int").alias("pieces"))
     )
-    # at most rows / hot_rows keys can be hot: a bound that shrinks with the limit, checked before broadcasting
     if hot.isEmpty():
         return unresolved.join(state, ["tree", "ptr"], "left")
     left = (
-        unresolved.join(hot.hint("shuffle_hash"), (unresolved.tree == hot.tree) & (unresolved.ptr == hot.hot_id), "left")
-        .drop(hot.tree).drop("hot_id")
+        unresolved.join(hot, (F.col("tree") == F.col("hot_tree")) & (F.col("ptr") == F.col("hot_id")), "left").drop("hot_tree", "hot_id")
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
     )
     right = (
-        state.join(hot, (state.tree == hot.tree) & (state.ptr == hot.hot_id), "left").drop(hot.tree).drop("hot_id")
+        state.join(hot, (F.col("tree") == F.col("hot_tree")) & (F.col("ptr") == F.col("hot_id")), "left").drop("hot_tree", "hot_id")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))).drop("pieces")
     )
     return left.join(right, ["tree", "ptr", "salt"], "left").drop("salt")
