@@ -48,3 +48,36 @@ ORACLES: dict[str, str] = {
     # a word of n characters has ceil(n / 3) matches of up to three; the rest are single visible characters
     "p6_found": r"SELECT DISTINCT id AS chunk_id FROM chunk WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,3}|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]')) > 420",
 }
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm import encoding
+
+    return encoding.repair_encoding(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_repaired(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES |= {"p9_found": p9_found, "p9_repaired": p9_repaired}
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaking document with the items it leaks, the longest verbatim match and where it stands."""
+    from lodestack.llm import leakage
+
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "eval_id").distinct()
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents left when the affected ones are removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return docs.join(p7_leaks(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean}
