@@ -103,13 +103,15 @@ def _kind(c: str) -> str:
         return "cyrillic"
     if 0x80 <= o <= 0x9F:
         return "control"
+    if o > 0x24F and c.isalpha() and not 0x1E00 <= o <= 0x1EFF:
+        return "foreign"
     return "w" if c.isalpha() else "s"
 
 
 def _mixed(word: str) -> bool:
     """Scripts or drawing characters that don't share a word with Latin letters, capitals amid small letters, signs between letters."""
     kinds = [_kind(c) for c in word]
-    if "control" in kinds or ("w" in kinds and any(k in ("box", "greek", "cyrillic") for k in kinds)):
+    if "control" in kinds or ("w" in kinds and any(k in ("box", "greek", "cyrillic", "foreign") for k in kinds)):
         return True
     return any(a.islower() and not b.isascii() and (b.isupper() or kinds[i + 1] == "s" and b not in "’‘–—·²³₂°") and c.islower()
                for i, (a, b, c) in enumerate(zip(word, word[1:], word[2:])))
@@ -191,12 +193,13 @@ def _expect(words: DataFrame, model: _Model | None) -> DataFrame:
                 elif c[0][0] == LOST:
                     post = [0.0, 0.0]
                 elif m is None:  # first guess: UTF-8 that can be undone hardly ever is chance; single bytes only in odd company
-                    multi = [i for i, (k, _, _) in enumerate(c) if CHAINS[k][1] == "utf-8"]
+                    odd = _mixed(w)
+                    multi = [i for i, (k, x, _) in enumerate(c) if CHAINS[k][1] == "utf-8" and (odd or not _mixed(x))]
                     if multi:
                         best = max(multi, key=lambda i: (c[i][2], CHAINS[c[i][0]][2], -i))
                         post = [0.02] + [0.98 * (i == best) for i in range(len(c))]
                     else:
-                        post = [0.05 if _mixed(w) else 1.0] + [0.0] * len(c)
+                        post = [0.05 if odd else 1.0] + [0.0] * len(c)
                 else:
                     post = m.posterior(w, c, m.prior.get(pool, m.default))
                 for x, p in zip([w, *(x for _, x, _ in c)], post):
@@ -234,7 +237,8 @@ def fit(words: DataFrame, rounds: int = ROUNDS) -> _Model:
             v = 50 * total
             for k, n in zip(rows["chain"], rows["n"]):
                 v[k if k >= 0 else width - 1] += n
-            prior[int(pool)] = np.maximum(v / v.sum(), 1e-7)
+            # half its own shares, half those of all sources: a chain rare everywhere isn't ruled out in a large source
+            prior[int(pool)] = np.maximum(0.5 * v / v.sum() + 0.5 * total, 1e-7)
         model = _Model(tri, ctx, prior, np.maximum(total, 1e-7))
     return model
 
