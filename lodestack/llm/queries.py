@@ -81,3 +81,33 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean}
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunk").select(
+        F.col("id").alias("record_id"), F.col("document_id").alias("host"), F.col("content_status").alias("status"), F.lit("chunk").alias("kind"), "text")
+    items = table(spark, sf_dir, "knowledge_item").select(
+        F.col("id").alias("record_id"), F.col("document_id").alias("host"), F.col("content_status").alias("status"),
+        F.lit("knowledge_item").alias("kind"), F.col("statement").alias("text"))
+    return chunks.unionByName(items)
+
+
+def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with residue, with the segment that shows it and its score."""
+    from lodestack.llm import residue
+
+    return residue.find_residue(_texts(spark, sf_dir))[0].withColumnRenamed("kind", "record_kind")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_residue(spark, sf_dir).select("record_kind", "record_id").distinct()
+
+
+def p2_retrievable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records left in the retrievable set."""
+    bad = p2_found(spark, sf_dir)
+    return _texts(spark, sf_dir).filter("text is not null").select(F.col("kind").alias("record_kind"), "record_id").join(
+        bad, ["record_kind", "record_id"], "left_anti")
+
+
+QUERIES |= {"p2_found": p2_found, "p2_residue": p2_residue, "p2_retrievable": p2_retrievable}
