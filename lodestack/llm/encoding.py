@@ -136,6 +136,17 @@ class _Model:
         self.tri, self.ctx, self.prior, self.default = tri, ctx, prior, default
         self.all = float(tri.sum()) / 2 + 1.0  # every trigram is counted once for itself and once for its last character
         self.cache: dict[str, float] = {}
+        self.plain: dict[tuple[int, str], bool] = {}
+
+    def sound(self, pool: int, word: str) -> bool:
+        """Whether nothing speaks for a chain, by the shares of the source alone; kept, as words recur."""
+        got = self.plain.get((pool, word))
+        if got is None:
+            c = candidates(word)
+            got = not c or self.posterior(word, c, self.prior.get(pool, self.default))[0] > 0.98
+            if len(self.plain) < 300_000:
+                self.plain[pool, word] = got
+        return got
 
     def score(self, word: str) -> float:
         got = self.cache.get(word)
@@ -246,10 +257,10 @@ def fit(words: DataFrame, rounds: int = ROUNDS) -> _Model:
 def repair_text(text: str, model: _Model, pool: int) -> tuple[str, int, int, str] | None:
     """(restored text, words garbled, of these not wholly restored, commonest chain); None for a sound text."""
     words = _words(text)
-    found = {w: c for w in set(words) if (c := candidates(w))}
-    if not found:
-        return None
     n = Counter(words)
+    if all(model.sound(pool, w) for w in n):
+        return None
+    found = {w: c for w in n if (c := candidates(w))}
     source = model.prior.get(pool, model.default)
     prior, post = source, {}
     for _ in range(2):  # the record's own words pooled: a chain met once is likelier in the rest of the record
