@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators import datadiff, hierarchy
+from lodestack.functions import units
+from lodestack.operators import datadiff, hierarchy, unit_states
 from lodestack.sources.tables import table
 
 TREES = {"taxonomy_term": "code", "criterion": "code", "doc_node": "code"}
@@ -67,7 +68,67 @@ def p5_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return differences(spark, sf_dir).filter(~F.col("finding").isin("only_in_primary", "only_in_replica"))
 
 
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, benchmarks and parsed values that record a quantity, with all that is said of their unit."""
+    t = lambda n: table(spark, sf_dir, n)
+    item = t("knowledge_item").select(F.col("id").alias("record_id"), "statement", F.col("created_at").alias("ts")).groupBy("record_id").agg(
+        F.min("statement").alias("statement"), F.min("ts").alias("ts"))
+    req = t("requirement").select(
+        F.lit("requirement").alias("record_kind"), F.col("knowledge_item_id").alias("record_id"), "metric_id", F.col("target_text").alias("value_text"),
+        F.lit(None).cast("string").alias("symbol"), F.col("target_value").alias("number"), F.lit(None).cast("double").alias("low"),
+        F.lit(None).cast("double").alias("high"), F.col("unit_id").alias("recorded_unit"))
+    bench = t("benchmark").select(
+        F.lit("benchmark").alias("record_kind"), F.col("knowledge_item_id").alias("record_id"), "metric_id", "value_text", F.lit(None).cast("string").alias("symbol"),
+        F.col("value_numeric").alias("number"), F.col("value_min").alias("low"), F.col("value_max").alias("high"), F.col("unit_id").alias("recorded_unit"))
+    parsed = t("parsed_value").select(
+        F.lit("parsed_value").alias("record_kind"), F.col("knowledge_item_id").alias("record_id"), "metric_id", F.lit(None).cast("string").alias("value_text"),
+        F.col("unit_symbol").alias("symbol"), F.col("numeric").alias("number"), F.col("minimum").alias("low"), F.col("maximum").alias("high"),
+        F.col("unit_id").alias("recorded_unit"))
+    unit = t("unit").select("id", "symbol", "dimension")
+    metric = t("metric").join(unit.select(F.col("id").alias("default_unit_id"), "dimension"), "default_unit_id").select(
+        F.col("id").alias("metric_id"), F.col("name").alias("metric_name"), F.col("default_unit_id").alias("default_unit"), "dimension")
+    spelt = {r["id"]: r["symbol"] for r in unit.collect()}  # the table of units: 49 rows, fixed
+    known = spark.createDataFrame(units.spellings(spelt), "dimension string, key string, spelt_unit string")
+    rows = req.unionByName(bench).unionByName(parsed).join(F.broadcast(metric), "metric_id").join(item, "record_id", "left")
+    q = units.quantity(F.col("value_text"))
+    rows = rows.withColumn("q", q).withColumn(
+        "is_quantity", F.when(F.col("record_kind") == "parsed_value", F.coalesce("number", "low", "high").isNotNull()).otherwise(F.col("q.is_quantity"))
+    ).filter("is_quantity")
+    # what stands in brackets right behind the metric's name, up to the word that goes on
+    behind = F.expr("substring(statement, locate(concat(lower(metric_name), ' ('), lower(statement)) + length(metric_name) + 2)")
+    named = F.regexp_extract(behind, r"^(.*?)\)(?=\s|[.,;:]|$)", 1)
+    has_name = F.contains(F.lower("statement"), F.concat(F.lower("metric_name"), F.lit(" (")))
+    rows = rows.withColumns({
+        "written_key": units.spelling_key_col(F.coalesce("symbol", "q.unit_text")),
+        "named_key": F.when(has_name, units.spelling_key_col(named)),
+    })
+    for kind in ("written", "named"):
+        spell = F.broadcast(known.select("dimension", F.col("key").alias(f"{kind}_key"), F.col("spelt_unit").alias(f"{kind}_unit")))
+        rows = rows.join(spell, ["dimension", f"{kind}_key"], "left")
+    grouped = units.number(F.col("q.low_text"))
+    decimal = units.number(F.col("q.low_text"), F.lit(True))
+    two = F.col("number").isNull() & F.col("low").isNull() & F.col("q.feet").isNull() & (grouped != decimal)
+    return rows.withColumns({
+        "low_1": F.coalesce("low", "number", "q.feet", grouped), "high_1": F.coalesce("high", F.when(F.col("number").isNull() & F.col("q.feet").isNull(), units.number(F.col("q.high_text")))),
+        "low_2": F.when(two, decimal), "high_2": F.when(two, units.number(F.col("q.high_text"), F.lit(True))),
+        "device": F.concat_ws("/", "record_kind", "metric_id"),
+    }).select("record_kind", "record_id", "metric_id", "dimension", "device", "ts", "value_text", "written_unit", "named_unit", "recorded_unit", "default_unit",
+              "low_1", "high_1", "low_2", "high_2")
+
+
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recorded value or range in its metric's common unit."""
+    return unit_states.decode_units(quantities(spark, sf_dir)).select(
+        "record_kind", F.col("record_id").alias("knowledge_item_id"), "metric_id", "value_text", "unit_id", "likely_unit",
+        F.col("default_unit").alias("common_unit"), F.round("low_common", 9).alias("low_common"), F.round("high_common", 9).alias("high_common"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_values(spark, sf_dir).filter("unit_id <> common_unit").select("record_kind", "knowledge_item_id").distinct()
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_values": p1_values,
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
     "p5_found": p5_found, "p5_differences": p5_differences,
 }

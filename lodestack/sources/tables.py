@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestack_shipped", False):
+        return
+    sc._lodestack_shipped = True
+    package = Path(__file__).resolve().parent.parent
+    name = os.path.join(tempfile.mkdtemp(prefix="lodestack-"), "lodestack")  # the driver's own file server hands it out
+    sc.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data directory; one parquet file or folder each."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
