@@ -111,3 +111,18 @@ def p2_retrievable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_residue": p2_residue, "p2_retrievable": p2_retrievable}
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar chunks of every chunk, with the cosine."""
+    from lodestack.llm import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "chunk").select("id", "embedding")).withColumnsRenamed({"id": "chunk_id", "neighbour": "neighbour_id"})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_neighbours(spark, sf_dir).select(
+        F.least("chunk_id", "neighbour_id").alias("chunk_id_1"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_2")).distinct()
+
+
+QUERIES |= {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
