@@ -132,4 +132,36 @@ QUERIES = {
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
     "p5_found": p5_found, "p5_differences": p5_differences,
 }
-ORACLES: dict[str, str] = {}
+_FOREST_SQL = """WITH RECURSIVE n AS (SELECT 'taxonomy_term' AS tree, id, parent_id, code FROM taxonomy_term UNION ALL SELECT 'criterion', id, parent_id, code FROM criterion
+UNION ALL SELECT 'doc_node', id, parent_id, code FROM doc_node),
+up(tree, id, anc) AS (SELECT tree, id, parent_id FROM n WHERE parent_id IS NOT NULL UNION SELECT u.tree, u.id, p.parent_id FROM up u JOIN n p ON p.tree = u.tree AND p.id = u.anc WHERE p.parent_id IS NOT NULL),
+looped AS (SELECT DISTINCT tree, id FROM up WHERE anc = id), below AS (SELECT DISTINCT u.tree, u.id FROM up u JOIN looped l ON l.tree = u.tree AND l.id = u.anc ANTI JOIN looped o ON o.tree = u.tree AND o.id = u.id),
+missing AS (SELECT c.tree, c.id FROM n c ANTI JOIN n p ON p.tree = c.tree AND p.id = c.parent_id WHERE c.parent_id IS NOT NULL),
+down(tree, id, root_id, depth, codes, ids) AS (SELECT tree, id, id, 0, [code], [id] FROM n WHERE parent_id IS NULL OR (tree, id) IN (SELECT (tree, id) FROM missing) UNION ALL
+  SELECT c.tree, c.id, d.root_id, d.depth + 1, list_append(d.codes, c.code), list_append(d.ids, c.id) FROM n c JOIN down d ON c.tree = d.tree AND c.parent_id = d.id) """
+
+
+def _diff_sql(columns: bool) -> str:
+    """For each table a full join on one row per id; the columns are those of the tables' definition."""
+    fields = {
+        "source_document": "slug title doc_kind series_ref revision issue_date content_status sha256 size_bytes page_count is_spread_paginated supersedes_id is_current ingested_at",
+        "citation": "knowledge_item_id document_id page_index printed_page_label",
+        "knowledge_item": "item_type document_id node_id title statement summary content_status extraction_confidence review_status reviewed_at created_at"}
+    out = []
+    for t, names in fields.items():
+        pair = f"(SELECT DISTINCT ON (id) * FROM {t}) a {{}} JOIN (SELECT DISTINCT ON (id) * FROM {t}_replica) b ON a.id = b.id"
+        if columns:
+            out += [f"SELECT '{t}' AS table_name, a.id AS record_id, '{c}' AS finding FROM {pair.format('')} WHERE a.{c} IS DISTINCT FROM b.{c}" for c in names.split()]
+        else:
+            out.append(f"SELECT '{t}' AS table_name, coalesce(a.id, b.id) AS record_id, CASE WHEN b.id IS NULL THEN 'only_in_primary' ELSE 'only_in_replica' END AS finding "
+                       f"FROM {pair.format('FULL')} WHERE a.id IS NULL OR b.id IS NULL")
+    return " UNION ALL ".join(out)
+
+
+ORACLES: dict[str, str] = {
+    "p3_found": _FOREST_SQL + """SELECT tree, id AS node_id, 'on_loop' AS finding FROM looped UNION ALL SELECT tree, id, 'below_loop' FROM below UNION ALL SELECT tree, id, 'missing_parent' FROM missing
+UNION ALL SELECT d.tree, d.id, 'stale_path' FROM down d JOIN taxonomy_term t ON d.tree = 'taxonomy_term' AND t.id = d.id ANTI JOIN missing m ON m.tree = d.tree AND m.id = d.root_id
+WHERE t.path IS NOT NULL AND t.path <> array_to_string(d.codes, '.')""",
+    "p3_descendants": _FOREST_SQL + "SELECT tree, ids[i] AS ancestor_id, id AS node_id, depth + 1 - i AS distance FROM (SELECT *, unnest(generate_series(1, depth)) AS i FROM down)",
+    "p5_found": _diff_sql(True) + " UNION ALL " + _diff_sql(False),
+}
