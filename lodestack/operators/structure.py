@@ -21,7 +21,8 @@ def page_ends(nodes: DataFrame, group: str, order: str, level: str, page: str, m
     chosen = F.lit(None).cast("int")
     for n, c in enumerate(nexts):
         chosen = F.when(F.col(level) == n, c).otherwise(chosen)
-    return nodes.withColumn("next_page", chosen).withColumn("page_end", F.greatest(F.col("next_page") - 1, F.col(page)))
+    return nodes.withColumn("next_page", chosen).withColumn(
+        "page_end", F.when(F.col("next_page").isNotNull(), F.greatest(F.col("next_page") - 1, F.col(page))))
 
 
 def forward_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, reset: Column | None = None, out: str = "filled") -> DataFrame:

@@ -441,7 +441,8 @@ def literal_search(spark, sf):
 # --- structure ------------------------------------------------------------------------------------------------------
 @query("""WITH n AS (SELECT id, document_id, page_from, CASE node_kind WHEN 'volume' THEN 0 WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 ELSE 3 END AS level,
 row_number() OVER (PARTITION BY document_id ORDER BY page_from NULLS LAST, ordinal, id) AS seq FROM doc_node)
-SELECT a.id, a.page_from, greatest((SELECT b.page_from FROM n b WHERE b.document_id = a.document_id AND b.seq > a.seq AND b.level <= a.level ORDER BY b.seq LIMIT 1) - 1, a.page_from) AS page_end FROM n a""")
+SELECT id, page_from, CASE WHEN nxt IS NOT NULL THEN greatest(nxt - 1, page_from) END AS page_end FROM (SELECT a.id, a.page_from,
+(SELECT b.page_from FROM n b WHERE b.document_id = a.document_id AND b.seq > a.seq AND b.level <= a.level ORDER BY b.seq LIMIT 1) AS nxt FROM n a)""")
 def page_ends(spark, sf):
     level = F.when(F.col("node_kind") == "volume", 0).when(F.col("node_kind") == "chapter", 1).when(F.col("node_kind") == "section", 2).otherwise(3)
     w = Window.partitionBy("document_id").orderBy(F.col("page_from").asc_nulls_last(), "ordinal", "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,10 @@ def merge_metadata(*layers: Column) -> Column:
     def known(m: Column) -> Column:
         return F.coalesce(F.map_filter(m, lambda k, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
 
-    out = known(layers[0])
-    for m in map(known, layers[1:]):
-        mine = out
-        out = F.map_concat(F.map_filter(mine, lambda k, v, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+    def over(low: Column, high: Column) -> Column:
+        return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+
+    return reduce(over, map(known, layers))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
