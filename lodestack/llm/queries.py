@@ -126,3 +126,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+
+# brute force over all pairs: what the hashing must come to
+ORACLES["p4_found"] = """WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunk
+  WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.id <> b.id),
+t AS (SELECT a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS chunk_id_1, greatest(a, b) AS chunk_id_2 FROM t"""
