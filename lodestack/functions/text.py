@@ -61,18 +61,18 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)[\p{L}\p{N}_]{1,3}|[^\p{L}\p{N}_\s\x1c-\x1f]"))
 
 
-def filler_share(text: Column) -> Column:
+def filler_share(text: Column, filler: tuple[str, ...] = FILLER_WORDS) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    known = F.array(*[F.lit(w) for w in FILLER_WORDS])
+    known = F.array(*[F.lit(w) for w in filler])
     return F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(known, w))).cast("double"), F.size(words)), F.lit(0.0))
 
 
-def page_status(text: Column) -> Column:
-    """wip, template or lorem by marks in the text, lorem by a large share of filler words in a long one, else real."""
+def page_status(text: Column, filler: tuple[str, ...] = FILLER_WORDS) -> Column:
+    """wip, template or lorem by marks in the text, lorem by a large share of `filler` words in a long one, else real."""
     words = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
     return (
         F.when(text.rlike(r"(?<!\w)WIP(?!\w)"), "wip").when(text.rlike(r"(?i)template\s*\n?\s*only"), "template").when(text.rlike(r"(?i)lorem\s+ipsum"), "lorem")
-        .when((words >= MIN_FILLER_TEXT) & (filler_share(text) > FILLER_SHARE), "lorem").otherwise("real")
+        .when((words >= MIN_FILLER_TEXT) & (filler_share(text, filler) > FILLER_SHARE), "lorem").otherwise("real")
     )
 
 

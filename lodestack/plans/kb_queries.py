@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions import text as T
-from lodestack.functions import units
-from lodestack.operators import enrich, facets, policy, ranking, structure
+from lodestack.functions import values
+from lodestack.operators import enrich, extraction, facets, policy, ranking, structure
 from lodestack.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -520,19 +520,57 @@ def placeholder_values(spark, sf):
     return _t(spark, sf)("benchmark").select("knowledge_item_id", "value_text", T.is_placeholder_value(F.col("value_text")).alias("is_placeholder_value"))
 
 
-@query()
+_NUM = r"(-?\d+(?:\.\d+)?)"
+_UNIT = r"((?:[%a-zA-Zµ°²·][%a-zA-Z0-9µ°²·/]*)?)"
+
+
+@query(rf"""WITH v AS (SELECT knowledge_item_id, target_text AS t FROM requirement UNION ALL SELECT knowledge_item_id, value_text FROM benchmark),
+c AS (SELECT knowledge_item_id, t, regexp_replace(trim(t), '[\s*]*\*$', '') AS b FROM v WHERE t IS NOT NULL),
+f AS (SELECT *, CASE WHEN regexp_matches(trim(t), '(?i)^X\s*(%|km|no)') THEN NULL WHEN regexp_matches(b, '(?:^|[^A-Za-z0-9_.]){_NUM}\s*-\s*{_NUM}') THEN 'range'
+  WHEN regexp_matches(b, '[<≤]\s*{_NUM}') THEN 'lte' WHEN regexp_matches(b, '[>≥]\s*{_NUM}') THEN 'gte' WHEN regexp_matches(b, '{_NUM}\s*%') THEN 'pct'
+  WHEN regexp_matches(b, '^{_NUM}\s*{_UNIT}$') THEN 'whole' END AS form FROM c)
+SELECT knowledge_item_id, t AS value_text, CASE WHEN form IN ('pct', 'whole') OR form IS NULL THEN 'none' ELSE form END AS comparator,
+CASE form WHEN 'lte' THEN regexp_extract(b, '[<≤]\s*{_NUM}', 1) WHEN 'gte' THEN regexp_extract(b, '[>≥]\s*{_NUM}', 1) WHEN 'pct' THEN regexp_extract(b, '{_NUM}\s*%', 1)
+  WHEN 'whole' THEN regexp_extract(b, '^{_NUM}', 1) END::DOUBLE AS number,
+CASE WHEN form = 'range' THEN regexp_extract(b, '(?:^|[^A-Za-z0-9_.]){_NUM}\s*-\s*{_NUM}', 1) END::DOUBLE AS minimum,
+CASE WHEN form = 'range' THEN regexp_extract(b, '(?:^|[^A-Za-z0-9_.]){_NUM}\s*-\s*{_NUM}', 2) END::DOUBLE AS maximum,
+regexp_matches(trim(t), '\*$') AS has_caveat, form IS NOT NULL AS parsed_ok FROM f""")
 def value_parse(spark, sf):
-    """Comparator, numbers, unit text and caveat of every target and benchmark text."""
+    """Numbers, comparator and caveat of every target and benchmark text."""
     t = _t(spark, sf)
     v = t("requirement").select("knowledge_item_id", F.col("target_text").alias("value_text")).unionByName(t("benchmark").select("knowledge_item_id", "value_text"))
-    q = units.quantity(F.col("value_text"))
-    low = F.lower(F.trim("value_text"))
-    comparator = (F.when(low.rlike(r"^(<|≤|max|not exceeding|no more|up to|at most)"), "lte").when(low.rlike(r"^(>|≥|min|at least|not less)"), "gte")
-                  .when(low.rlike(r"^(≈|~|approx|about|circa)"), "approx"))
-    return v.withColumn("q", q).select(
-        "knowledge_item_id", "value_text", F.when(F.col("q.is_quantity"), F.coalesce(F.when(F.col("q.high_text").isNotNull(), "range"), comparator, F.lit("eq"))).alias("comparator"),
-        units.number(F.col("q.low_text")).alias("low"), units.number(F.col("q.high_text")).alias("high"), F.when(F.col("q.is_quantity"), F.col("q.unit_text")).alias("unit_text"),
-        F.coalesce(low.rlike(r"\*\s*$"), F.lit(False)).alias("has_caveat"), F.coalesce(F.col("q.is_quantity"), F.lit(False)).alias("parsed_ok"))
+    p = values.parse_values(v.filter("value_text is not null"), "value_text", out="p")
+    return p.select("knowledge_item_id", "value_text", "p.comparator", F.col("p.numeric").alias("number"), "p.minimum", "p.maximum", F.col("p.caveat_text").isNotNull().alias("has_caveat"), "p.parsed_ok")
+
+
+@query("""WITH p AS (SELECT document_id, page_from AS page, content_status, string_agg(text, chr(10) ORDER BY ordinal, id) AS text FROM chunk
+  WHERE knowledge_item_id IS NULL AND asset_id IS NULL AND page_from IS NOT NULL GROUP BY 1, 2, 3)
+SELECT document_id, page, 'guidance' AS item_type, length(substring(b, 1, 4000))::INTEGER AS n_chars FROM (SELECT *, trim(regexp_replace(text, '[\\s\\x{a0}]+', ' ', 'g')) AS b, regexp_extract_all(lower(text), '[a-z]+') AS words FROM p)
+WHERE (content_status IS NULL OR content_status NOT IN ('lorem','template','wip','draft')) AND length(b) >= 40 AND NOT regexp_matches(text, '(^|[^A-Za-z0-9_À-ɏ])WIP($|[^A-Za-z0-9_À-ɏ])')
+AND NOT regexp_matches(text, '(?i)template\\s*\\n?\\s*only') AND NOT regexp_matches(text, '(?i)lorem\\s+ipsum') AND NOT (len(words) >= 150 AND len(list_filter(words, lambda w: list_contains(@FILL@, w))) > 0.12 * len(words))""".replace("\\\\", "\\").replace("@FILL@", _FILL))
+def extract_generic(spark, sf):
+    """Guidance items from the pages of every document, through the registry of extractors."""
+    t = _t(spark, sf)
+    pages = t("chunk").filter("knowledge_item_id is null and asset_id is null and page_from is not null").groupBy("document_id", F.col("page_from").alias("page"), "content_status").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    kinds = t("source_document").select(F.col("id").alias("document_id"), "doc_kind")
+    items = extraction.extract(pages.join(kinds, "document_id", "left"))
+    return items.select("document_id", "page", "item_type", F.length("statement").alias("n_chars"))
+
+
+@query("""WITH s AS (SELECT knowledge_item_id, min(page_index) AS page_from, max(page_index) AS page_to FROM citation GROUP BY 1)
+SELECT k.id AS knowledge_item_id, s.page_from, s.page_to, CASE WHEN k.statement IS NOT NULL THEN concat_ws(chr(10) || chr(10), nullif(trim(k.title), ''), nullif(trim(k.statement), ''))
+ELSE coalesce(nullif(trim(k.summary), ''), nullif(trim(k.title), ''), '[' || k.item_type || ']') END AS text FROM knowledge_item k LEFT JOIN s ON s.knowledge_item_id = k.id""")
+def item_chunks(spark, sf):
+    t = _t(spark, sf)
+    return extraction.item_chunks(t("knowledge_item"), t("citation")).select("knowledge_item_id", "page_from", "page_to", "text")
+
+
+@query("""SELECT DISTINCT document_id, page_from AS page FROM chunk c WHERE page_from IS NOT NULL AND NOT EXISTS (SELECT 1 FROM citation x WHERE x.document_id = c.document_id AND x.page_index = c.page_from)""")
+def uncovered_pages(spark, sf):
+    t = _t(spark, sf)
+    pages = t("chunk").filter("page_from is not null").select("document_id", F.col("page_from").alias("page")).distinct()
+    return extraction.uncovered_pages(pages, t("citation"))
 
 
 @query(r"""SELECT id, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'x') AS slug, trim(regexp_replace(code, '[_-]+', ' ', 'g')) AS human,
