@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -42,6 +43,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases: Spark drops them once the driver finds that nothing refers to them.
+
+    Worth it between the phases of a long operator, when their results are checkpointed: disk is then bounded by a phase.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def task_slots(spark: SparkSession) -> int:
     """Number of partitions to spread Python work over: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
