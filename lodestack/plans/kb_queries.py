@@ -521,7 +521,7 @@ def placeholder_values(spark, sf):
 
 
 _NUM = r"(-?\d+(?:\.\d+)?)"
-_UNIT = r"((?:[%a-zA-Zµ°²·][%a-zA-Z0-9µ°²·/]*)?)"
+_UNIT = r"((?:[%a-zA-Zµ°²·](?:[%a-zA-Z0-9µ°²·/]|\.[%a-zA-Zµ°²·])*)?)"
 
 
 @query(rf"""WITH v AS (SELECT knowledge_item_id, target_text AS t FROM requirement UNION ALL SELECT knowledge_item_id, value_text FROM benchmark),

@@ -42,7 +42,7 @@ def upsert_coalesce(spark, sf):
 
 
 @query("""WITH n AS (SELECT code, framework_id, id, CASE WHEN ordinal % 2 = 0 THEN code ELSE upper(title_primary) END AS title_primary FROM criterion)
-SELECT o.id, o.code, CASE WHEN n.title_primary <> o.code THEN n.title_primary ELSE o.title_primary END AS title_primary FROM criterion o JOIN n ON n.id = o.id""")
+SELECT o.id, o.code, CASE WHEN n.title_primary IS DISTINCT FROM o.code THEN n.title_primary ELSE o.title_primary END AS title_primary FROM criterion o JOIN n ON n.id = o.id""")
 def upsert_titles(spark, sf):
     """A title that is only the bare code never replaces a real one."""
     c = _t(spark, sf)("criterion").select("id", "code", "title_primary", "ordinal")
