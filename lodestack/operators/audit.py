@@ -59,3 +59,17 @@ def forbidden_terms(df: DataFrame, row_id: str, text: str, rules: list[tuple[str
 
     found = F.array_compact(F.array(*[F.when(hit(t, m), F.lit(t)) for t, m in rules]))
     return df.select(F.col(row_id), F.explode(found).alias("term"))
+
+
+def table_order(references: dict[str, set[str]]) -> list[str]:
+    """Tables with those they refer to first; a cycle is an error. Names of tables only, so it runs on the driver."""
+    left = {t: {r for r in refs if r != t} for t, refs in references.items()}
+    out: list[str] = []
+    while left:
+        ready = sorted(t for t, refs in left.items() if not refs - set(out))
+        if not ready:
+            raise ValueError(f"tables refer to each other: {sorted(left)}")
+        out += ready
+        for t in ready:
+            del left[t]
+    return out

@@ -89,3 +89,17 @@ def latest(events: DataFrame, key: Sequence[str], order: Sequence[Column | str])
     """The last row of each key in an append-only log."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
     return events.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def replacement_guard(old: DataFrame, new: DataFrame, group: str, protected: Column) -> DataFrame:
+    """Groups whose replacement would empty them or lose protected rows: (group, n_old, n_new, n_protected, reason)."""
+    o = old.groupBy(group).agg(F.count("*").alias("n_old"), F.count(F.when(protected, 1)).alias("n_protected"))
+    n = new.groupBy(group).agg(F.count("*").alias("n_new"))
+    j = o.join(n, group, "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)).cast("long"))
+    return j.withColumn("reason", F.when(F.col("n_new") == 0, "would be empty").when(F.col("n_protected") > 0, "would lose reviewed rows")).filter("reason is not null")
+
+
+def either_key(left: DataFrame, right: DataFrame, first: str, second: str, key: str) -> DataFrame:
+    """Rows of `left` that either of two columns of `right` names: the disjunction as a union of keys and one semi join."""
+    keys = right.select(F.col(first).alias(key)).unionByName(right.select(F.col(second).alias(key))).filter(F.col(key).isNotNull()).distinct()
+    return left.join(keys, key, "left_semi")

@@ -66,3 +66,41 @@ def recursive_depths(nodes: DataFrame, node_id: str = "id", parent_id: str = "pa
           UNION ALL
           SELECT n.id, w.depth + 1 FROM lodestack_tree_nodes n JOIN walk w ON n.parent_id = w.id WHERE w.depth < {most})
         SELECT id, depth FROM walk""")
+
+
+def parents_by_level(nodes: DataFrame, group: str, order: str, level: str, node_id: str, most_levels: int = 12, exact: bool = False) -> DataFrame:
+    """parent: the last node before a row that is shallower (with `exact`, exactly one level up and not cut off by a shallower one)."""
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = F.lit(None).cast("string")
+    for n in range(1, most_levels + 1):
+        last = F.last(F.when(F.col(level) < n, F.struct(F.col(node_id).alias("id"), F.col(level).alias("level"))), ignorenulls=True).over(before)
+        chosen = F.when(F.col(level) == n, F.when(last["level"] == n - 1, last["id"]) if exact else last["id"]).otherwise(chosen)
+    return nodes.withColumn("parent", chosen)
+
+
+def weighted_mode(df: DataFrame, group: Sequence[str], value: str, weight: Column) -> DataFrame:
+    """The value of most weight in each group, the least on a tie; two partial aggregates."""
+    sums = df.groupBy(*group, value).agg(F.sum(weight).alias("w"))
+    return sums.groupBy(*group).agg(F.min(F.struct((-F.col("w")).alias("w"), value)).alias("m")).select(*group, F.col(f"m.{value}").alias(value), (-F.col("m.w")).alias("weight"))
+
+
+def nearest_label(points: DataFrame, labels: DataFrame, on: Sequence[str], at: str, label_at: str, label: str) -> DataFrame:
+    """The label closest to each point among those of the same group; the lower one on a tie.
+
+    Both sides are merged into one ordered stream and looked up behind and ahead, so that no pair of all is formed.
+    """
+    p = points.withColumns({"_at": F.col(at).cast("double"), "_l": F.lit(None).cast("string"), "_p": F.struct(*points.columns)}).select(*on, "_at", "_l", "_p")
+    q = labels.select(*on, F.col(label_at).cast("double").alias("_at"), F.col(label).cast("string").alias("_l"))
+    both = p.unionByName(q, allowMissingColumns=True)
+    mark = F.when(F.col("_l").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_l").alias("l")))
+    order = [F.col("_at"), F.col("_l").isNull()]
+    behind = F.last(mark, ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(mark, ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    out = both.withColumns({"_b": behind, "_a": ahead}).filter(F.col("_p").isNotNull())
+    nearer = F.col("_b.at").isNull() | (F.col("_a.at") - F.col("_at") < F.col("_at") - F.col("_b.at"))
+    return out.select("_p.*", F.when(nearer & F.col("_a.at").isNotNull(), F.col("_a.l")).otherwise(F.col("_b.l")).alias("nearest"))
+
+
+def unreached(nodes: DataFrame, tree: Column, node_id: str = "id", parent_id: str = "parent_id") -> DataFrame:
+    """Nodes that no walk from a root reaches: on, below or behind something broken."""
+    return resolve_hierarchy(nodes, tree, node_id, parent_id).filter("status <> 'ok'").select("tree", "node_id", "status")

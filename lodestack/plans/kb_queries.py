@@ -467,6 +467,34 @@ def gap_clusters(spark, sf):
     return e.withColumn("jump", jump).select("event_id", "user_id", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("cluster"))
 
 
+_LEVELS = """WITH n AS (SELECT id, document_id, CASE node_kind WHEN 'volume' THEN 0 WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 ELSE 3 END AS level,
+row_number() OVER (PARTITION BY document_id ORDER BY page_from NULLS LAST, ordinal, id) AS seq FROM doc_node) """
+
+
+@query(_LEVELS + """SELECT a.id, (SELECT b.id FROM n b WHERE b.document_id = a.document_id AND b.seq < a.seq AND b.level < a.level ORDER BY b.seq DESC LIMIT 1) AS parent FROM n a""")
+def parents_by_level(spark, sf):
+    level = F.when(F.col("node_kind") == "volume", 0).when(F.col("node_kind") == "chapter", 1).when(F.col("node_kind") == "section", 2).otherwise(3)
+    w = Window.partitionBy("document_id").orderBy(F.col("page_from").asc_nulls_last(), "ordinal", "id")
+    n = _t(spark, sf)("doc_node").withColumns({"level": level, "seq": F.row_number().over(w)})
+    return structure.parents_by_level(n, "document_id", "seq", "level", "id", 3).select("id", "parent")
+
+
+@query("""SELECT document_id, content_status, weight FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY weight DESC, content_status NULLS FIRST) AS rn FROM
+(SELECT document_id, content_status, sum(length(text))::BIGINT AS weight FROM chunk GROUP BY 1, 2)) WHERE rn = 1""")
+def dominant_status(spark, sf):
+    return structure.weighted_mode(_t(spark, sf)("chunk"), ["document_id"], "content_status", F.length("text"))
+
+
+@query("""WITH l AS (SELECT document_id, page_from AS p, min(id) AS label FROM doc_node WHERE page_from IS NOT NULL GROUP BY 1, 2), c AS (SELECT id, document_id, page_index FROM (SELECT DISTINCT * FROM citation) WHERE page_index IS NOT NULL)
+SELECT c.id, (SELECT l.label FROM l WHERE l.document_id = c.document_id ORDER BY abs(l.p - c.page_index), l.p LIMIT 1) AS nearest FROM c""")
+def nearest_node(spark, sf):
+    """The node that begins nearest to each cited page of its document."""
+    t = _t(spark, sf)
+    labels = t("doc_node").filter("page_from is not null").groupBy("document_id", "page_from").agg(F.min("id").alias("label"))
+    points = t("citation").dropDuplicates().filter("page_index is not null").select("id", "document_id", "page_index")
+    return structure.nearest_label(points, labels, ["document_id"], "page_index", "page_from", "label").select("id", "nearest")
+
+
 @query("SELECT document_id, code, arg_min(id, (ordinal, id)) AS id, min(ordinal) AS ordinal FROM doc_node WHERE code IS NOT NULL GROUP BY 1, 2")
 def first_sightings(spark, sf):
     n = _t(spark, sf)("doc_node").filter("code is not null").select("document_id", "code", "ordinal", "id")

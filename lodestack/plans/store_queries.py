@@ -100,6 +100,20 @@ def cascade_delete(spark, sf):
     return merge.without_orphans(t("citation").select("id", "knowledge_item_id"), t("knowledge_item").filter("review_status <> 'rejected'"), "knowledge_item_id")
 
 
+@query("""SELECT k.document_id, count(*)::BIGINT AS n_old, count(*) FILTER (WHERE k.review_status = 'approved')::BIGINT AS n_protected, coalesce(max(r.n), 0)::BIGINT AS n_new,
+CASE WHEN coalesce(max(r.n), 0) = 0 THEN 'would be empty' ELSE 'would lose reviewed rows' END AS reason FROM knowledge_item k
+LEFT JOIN (SELECT document_id, count(*) AS n FROM knowledge_item_replica GROUP BY 1) r ON r.document_id = k.document_id GROUP BY 1 HAVING coalesce(max(r.n), 0) = 0 OR count(*) FILTER (WHERE k.review_status = 'approved') > 0""")
+def replacement_guard(spark, sf):
+    t = _t(spark, sf)
+    return merge.replacement_guard(t("knowledge_item"), t("knowledge_item_replica"), "document_id", F.col("review_status") == "approved")
+
+
+@query("SELECT id FROM taxonomy_term WHERE id IN (SELECT building_use_id FROM benchmark) OR id IN (SELECT region_id FROM benchmark)")
+def terms_in_use(spark, sf):
+    t = _t(spark, sf)
+    return merge.either_key(t("taxonomy_term"), t("benchmark"), "building_use_id", "region_id", "id").select("id")
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def latest_event(spark, sf):
     return merge.latest(_t(spark, sf)("events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")

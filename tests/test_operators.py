@@ -162,3 +162,15 @@ def test_stability(spark):
     rows = [("a", 5, t, t), ("a", 5, t, t + dt.timedelta(seconds=3)), ("b", 5, t, t), ("b", 6, t, t + dt.timedelta(seconds=9))]
     got = ingest.stable(spark.createDataFrame(rows, "path string, size int, modified timestamp, seen_at timestamp"), t + dt.timedelta(seconds=10)).collect()
     assert [r.path for r in got] == ["a"]
+
+
+def test_table_order():
+    assert audit.table_order({"c": {"b"}, "a": set(), "b": {"a", "b"}}) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        audit.table_order({"a": {"b"}, "b": {"a"}})
+
+
+def test_nearest_label(spark):
+    pts = spark.createDataFrame([("g", 1, 4.0), ("g", 2, 6.0), ("g", 3, 100.0), ("h", 4, 1.0)], "g string, i int, x double")
+    labels = spark.createDataFrame([("g", 2.0, "two"), ("g", 6.0, "six"), ("g", 9.0, "nine")], "g string, y double, l string")
+    assert {r.i: r.nearest for r in structure.nearest_label(pts, labels, ["g"], "x", "y", "l").collect()} == {1: "two", 2: "six", 3: "nine", 4: None}
