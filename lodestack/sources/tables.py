@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,10 @@ def release(spark: SparkSession) -> None:
 
     Worth it between the phases of a long operator, when their results are checkpointed: disk is then bounded by a phase.
     """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(2):  # Python's references reach the driver a little later than they are let go
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def task_slots(spark: SparkSession) -> int:
