@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,8 @@ from pyspark.sql.window import Window
 from lodestack.functions.text import word_tokens
 
 RRF_K, LEG_LIMIT = 60, 200
+#: vectors searched for at once
+QUERY_ROWS = 4_096
 STOP_WORDS = frozenset("a an and are as at be by for from in is it its of on or that the this to was were will with".split())
 
 
@@ -97,6 +102,55 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def vector_search(rows: DataFrame, asked: DataFrame, key: str, vector: str, limit: int = LEG_LIMIT) -> DataFrame:
+    """(query_id, key, distance, place): of all rows the `limit` nearest of each row of `asked`, by cosine distance to 6 places; ties to the smaller key.
+
+    Queries go to the executors QUERY_ROWS at a time, each block against all rows; each batch of rows sends back its best.
+    Null vectors and vectors of length 0 take no part.
+    """
+    kind, out = dict(rows.dtypes)[key], None
+    usable = F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
+    for ids, vectors in _query_blocks(asked.filter(usable).select(key, vector)):
+        shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                pdf = pdf.sort_values(key, kind="stable")
+                x = np.stack(pdf[vector].to_numpy()).astype(float)
+                x /= np.sqrt((x * x).sum(1, keepdims=True))
+                for a in range(0, len(ids), 256):
+                    far = np.round(1 - q[a : a + 256] @ x.T, 6) + 0.0
+                    at = np.argsort(far, 1, kind="stable")[:, :limit]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[a : a + 256], at.shape[1]), key: pdf[key].to_numpy()[at.ravel()], "distance": np.take_along_axis(far, at, 1).ravel()})
+
+        found = rows.filter(usable).select(key, vector).mapInPandas(scan, f"query_id {dict(asked.dtypes)[key]}, {key} {kind}, distance double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)[key]}, {key} {kind}, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return out.withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def _query_blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of QUERY_ROWS queries at a time, read one partition at a time."""
+    part = []
+    for r in asked.toLocalIterator():
+        part.append(r)
+        if len(part) == QUERY_ROWS:
+            yield _unit_block(part)
+            part = []
+    if part:
+        yield _unit_block(part)
+
+
+def _unit_block(part: list) -> tuple[np.ndarray, np.ndarray]:
+    q = np.array([r[1] for r in part], float)
+    return np.array([r[0] for r in part]), q / np.sqrt((q * q).sum(1, keepdims=True))
+
+
 def fuse(first: DataFrame, second: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two rankings with `place`; ties by the place in the first, then in the second."""
     a, b = first.select(key, F.col("place").alias("p1")), second.select(key, F.col("place").alias("p2"))

@@ -394,6 +394,15 @@ def vector_topk(spark, sf):
     return ranking.top(scored, "distance", "vec_id", 50, ascending=True).select("vec_id", "distance")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id,
+round(1 - list_sum(list_transform(list_zip(v.embedding, q.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.e, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS distance
+FROM embeddings v, q) SELECT query_id, vec_id, distance FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 50""")
+def vector_topk_all(spark, sf):
+    """The search of vector_topk for every prescribed query."""
+    e = _t(spark, sf)("embeddings")
+    return ranking.vector_search(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 50).select("query_id", "vec_id", "distance")
+
+
 @query(f"""WITH lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY rank DESC, doc_id) AS p FROM (SELECT doc_id, {_rank_sql(['rooflight', 'clerestory'])} AS rank FROM documents
   WHERE list_contains({_WORDS}, 'rooflight') OR list_contains({_WORDS}, 'clerestory')) QUALIFY p <= 200),
 q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), vs AS (SELECT vec_id,
@@ -409,6 +418,25 @@ def hybrid_rrf(spark, sf):
     return ranking.fuse(lex, ranking.top(vec, "d", "id", ascending=True), "id").select("id", "score")
 
 
+@query(f"""WITH lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY rank DESC, doc_id) AS p FROM (SELECT doc_id, {_rank_sql(['rooflight', 'clerestory'])} AS rank FROM documents
+  WHERE list_contains({_WORDS}, 'rooflight') OR list_contains({_WORDS}, 'clerestory')) QUALIFY p <= 200),
+q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT query_id, vec_id,
+  round(1 - list_sum(list_transform(list_zip(v.embedding, q.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.e, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS d FROM embeddings v, q),
+vec AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS p FROM vs QUALIFY p <= 200),
+legs AS (SELECT query_id, id, p FROM lex, (SELECT query_id FROM q))
+SELECT query_id, id, round(coalesce(1.0 / (60 + legs.p), 0) + coalesce(1.0 / (60 + vec.p), 0), 6)::DOUBLE AS score FROM legs FULL OUTER JOIN vec USING (query_id, id)""")
+def hybrid_rrf_all(spark, sf):
+    """The fusion of hybrid_rrf for every prescribed vector."""
+    t = _t(spark, sf)
+    at = F.struct("query_id", "id").alias("at")
+    lex = ranking.top(ranking.lexical(t("documents"), WIDE).select(F.col("doc_id").alias("id"), "rank"), "rank", "id")  # 200 rows at most
+    e = t("embeddings")
+    asked = e.filter("vec_id % 20 = 0")
+    legs = asked.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(lex)).select(at, "place")
+    vec = ranking.vector_search(e, asked, "vec_id", "embedding").select("query_id", F.col("vec_id").alias("id"), "place").select(at, "place")
+    return ranking.fuse(legs, vec, "at").select("at.query_id", "at.id", "score")
+
+
 @query(_RETRIEVABLE + f""", h AS (SELECT *, coalesce(knowledge_item_id, asset_id, document_id || ':' || page_from::VARCHAR, document_id) AS result_id, {_rank_sql(['rooflight', 'clerestory'])} AS rank
 FROM r WHERE list_contains({_WORDS}, 'rooflight') OR list_contains({_WORDS}, 'clerestory'))
 SELECT result_id, result_kind, CAST(max(rank) AS DOUBLE) AS score, bool_or(placeholder_status IS NOT NULL) AS is_placeholder, min(placeholder_status) AS placeholder_status,

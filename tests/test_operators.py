@@ -174,3 +174,19 @@ def test_nearest_label(spark):
     pts = spark.createDataFrame([("g", 1, 4.0), ("g", 2, 6.0), ("g", 3, 100.0), ("h", 4, 1.0)], "g string, i int, x double")
     labels = spark.createDataFrame([("g", 2.0, "two"), ("g", 6.0, "six"), ("g", 9.0, "nine")], "g string, y double, l string")
     assert {r.i: r.nearest for r in structure.nearest_label(pts, labels, ["g"], "x", "y", "l").collect()} == {1: "two", 2: "six", 3: "nine", 4: None}
+
+
+def test_all_prescribed_vector_queries(spark, sf):
+    """Every vec_id divisible by 20 is searched for among all rows, in blocks; query 0 gives what vector_topk and hybrid_rrf give."""
+    from lodestack.operators import ranking
+    from lodestack.plans import kb_queries as Q
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
+    before, ranking.QUERY_ROWS = ranking.QUERY_ROWS, 7  # several blocks
+    try:
+        for every, one in (("vector_topk_all", "vector_topk"), ("hybrid_rrf_all", "hybrid_rrf")):
+            rows = Q.QUERIES[every](spark, sf).collect()
+            assert {r.query_id for r in rows} == ids
+            assert {tuple(r)[1:] for r in rows if r.query_id == 0} == {tuple(r) for r in Q.QUERIES[one](spark, sf).collect()}
+    finally:
+        ranking.QUERY_ROWS = before
