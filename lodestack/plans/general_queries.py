@@ -117,10 +117,11 @@ def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every recorded value or range in its metric's common unit."""
+    """Every recorded value or range in its metric's common unit: by the unit the record names, and by the one its level speaks for."""
     return unit_states.decode_units(quantities(spark, sf_dir)).select(
         "record_kind", F.col("record_id").alias("knowledge_item_id"), "metric_id", "value_text", "unit_id", "likely_unit",
-        F.col("default_unit").alias("common_unit"), F.round("low_common", 9).alias("low_common"), F.round("high_common", 9).alias("high_common"))
+        F.col("default_unit").alias("common_unit"), F.round("low_common", 9).alias("low_common"), F.round("high_common", 9).alias("high_common"),
+        F.round("likely_low", 9).alias("likely_low"), F.round("likely_high", 9).alias("likely_high"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
