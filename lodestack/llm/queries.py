@@ -24,6 +24,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).filter("piece_no = 0").select("chunk_id").distinct()
 
 
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized chunk: pieces within the limit, new texts that give the text again, shared stretches of about 200 characters, pages in order."""
+    chunks = table(spark, sf_dir, "chunk").select(F.col("id").alias("chunk_id"), "text", F.col("page_from").alias("first"), F.col("page_to").alias("last"))
+    part = F.struct("piece_no", F.expr("substring(piece_text, new_from - char_from + 1)").alias("new"), "token_count", (F.col("new_from") - F.col("char_from")).alias("shared"), "page_from", "page_to")
+    parts = p6_pieces(spark, sf_dir).groupBy("chunk_id").agg(F.array_sort(F.collect_list(part)).alias("p"))  # the pieces of one text
+    inside = "(first is null and x.page_from is null) or (x.page_from >= first and x.page_to >= x.page_from and (last is null or last < first or x.page_to <= last))"
+    return parts.join(chunks, "chunk_id").select(
+        "chunk_id", F.expr(f"size(p) > 1 and forall(p, x -> x.token_count between 1 and {splitting.LIMIT_TOKENS})").alias("within_limit"),
+        F.expr("array_join(transform(p, x -> x.new), '') = text").alias("gives_the_text"),
+        F.expr(f"forall(slice(p, 2, size(p)), x -> x.shared between 0 and {splitting.OVERLAP_CHARS * 5 // 4})").alias("shares_a_stretch"),
+        F.expr(f"forall(p, x -> {inside})").alias("pages_in_order"))
+
+
 def _mix(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", mixing.source_key(F.col("source")).alias("source"), "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
@@ -43,11 +56,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_roundtrip": p6_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLES: dict[str, str] = {
     # a word of n characters has ceil(n / 3) matches of up to three; the rest are single visible characters
     "p6_found": r"SELECT DISTINCT id AS chunk_id FROM chunk WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,3}|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]')) > 420",
 }
+ORACLES["p6_roundtrip"] = ORACLES["p6_found"].replace("chunk_id FROM", "chunk_id, true AS within_limit, true AS gives_the_text, true AS shares_a_stretch, true AS pages_in_order FROM")
 
 
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,50 @@ def test_round_trip_and_limits():
                 assert n == e0 and s <= n
 
 
+def _sections(n=5):
+    body = "It says what is to be done here and by whom, in words of no great length. " * n
+    return f"# A\n\n## A1\n\n{body}\n\n## A2\n\n{body}\n\n# B\n\n## B1\n\n{body}\n\n## B2\n\n{body}\n"
+
+
+def test_headings_stay_with_what_they_head():
+    for n in (2, 5, 9, 14, 40):
+        x = _sections(n)
+        new = [x[a:b] for _, a, b in S.split_text(x, 420, 200)]
+        assert "".join(new) == x
+        for p in new:
+            rows = [r for r in p.split("\n") if r.strip()]
+            assert not rows[-1].startswith("#") and not all(r.startswith("#") for r in rows)
+        assert len(new) == 1 or any(p.startswith("# B\n\n## B1") for p in new)  # no piece joins A2 to B1
+
+
+def test_tree_and_its_levels():
+    x = "1 Scope\n\nText of it.\n\n1.1 Limits\n\n- one\n  - inner\n- two\n\nANNEX\n\nTitle\n-----\n\nA line\twith a tab\nb\tc\n"
+    root = S.parse(x)
+    first, annex = root.children
+    assert x[first.a : first.b].startswith("1 Scope") and [c.kind for c in first.children] == ["heading", "block", "section"]
+    items = first.children[2].children[1].children
+    assert [i.kind for i in items] == ["item", "item"] and items[0].children[1].kind == "item"
+    assert [c.level for c in annex.children[1:]] == [2] and [c.kind for c in annex.children[1].children[1].children] == ["line", "line"]
+
+    def whole(node):
+        at = node.a
+        for c in node.children:
+            assert c.a == at
+            whole(c)
+            at = c.b
+        assert not node.children or at == node.b
+
+    for y in [x, _sections(), *texts()]:
+        whole(S.parse(y))
+
+
+def test_a_dense_stretch_shortens_only_what_is_near_it():
+    calm = "A plain sentence of some length stands here and goes on a little while. " * 120
+    x = calm + "\n\n" + "% + = ! " * 120 + "\n\n" + calm
+    alone = S.split_text(calm)
+    assert [p for p in S.split_text(x) if p[2] < len(calm) - 2000] == [p for p in alone if p[2] < len(calm) - 2000]
+
+
 def test_overlap_is_about_right():
     x = " ".join(f"Sentence number {i} is of a usual length and says little." for i in range(200))
     parts = S.split_text(x)
