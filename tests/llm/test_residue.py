@@ -1,4 +1,90 @@
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from lodestack.llm import residue as R
+from lodestack.llm.queries import _texts
+
+SF = os.environ.get("TEST_RESIDUE_DIR", "/root/testdata/sf0.1")
+#: wording that no weak label knows
+UNLISTED = [
+    "Cookies are disabled in your web client.", "Esta página no existe.", "Wartungsarbeiten: bitte später erneut versuchen.", "Please replace this text with your own content.",
+    "The |PROJECT_NAME| shall be reviewed by the site manager.", "This page is under construction.",
+]
+SOUND = [
+    "The facilities lead shall review the daylight model before the second survey.", "An error of two per cent is acceptable (see Table 4).", "The template for the roof edge was cut from plywood on site.",
+    "Each pergola is 3.2 m high and less than 40 % of the area is glazed.", "12", "A-3.1",
+]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no data")
+    return R.train(_texts(spark, SF).filter("text is not null"))
+
+
+def test_segments_cover_the_text_and_marks_have_any_length():
+    text = "A title\nFirst sentence. Second one! 3 more.\n\nshort. Next\fpage goes on. And is cut"
+    got = R._cut(text)
+    assert got[0] == ("A title", 0) and ("Second one!", 1) in got and got[-1] == ("And is cut", 2)
+    assert R._cut("") == R._cut(" \n\f") == [] and R._cut("one") == [("one", 0)]
+    for n in (5, 70, 5000):
+        assert R._phrase("See {{ " + "x" * n + " }} here") and R._phrase("See <<" + "x" * n + ">> here") and R._phrase("A %" + "X" * n + "% here")
+    assert not R._phrase("Less than <5 or 12 % of it, see [3].")
+
+
+def test_least_score():
+    z = np.array([3.0, 2.0, 1.0, 0.0])
+    y = np.array([True, True, False, True])
+    one = np.ones(4)
+    assert R.least_score(z, y, one, 0.9, enough=1) == 1.5 and R.least_score(z, y, one, 0.7, enough=1) == 0.0
+    assert R.least_score(z, y, one, 0.9, enough=9) == 0.0 and R.least_score(z, ~y, one, 0.99, enough=1) == 3.0
+
+
+def test_fit_finds_the_optimum():
+    seg = [(f"good word {i}", 1) for i in range(30)] + [(f"bad word {i}", 1) for i in range(10)]
+    y = np.arange(40) >= 30
+    w, b = R.fit_classifier(seg, y, np.ones(40))
+    z = R._score(R._Hasher()([("good thing", 1), ("bad thing", 1)]), w, b)
+    assert z[0] < 0 < z[1]
+
+
+def test_unseen_hosts_and_unlisted_wording(trained):
+    w, b, report = trained
+    assert report["precision"] >= 0.95 and report["recall"] >= 0.9
+    z = lambda xs: R._score(R._Hasher()([(x, 1) for x in xs]), w, b)
+    assert (z(UNLISTED) > report["threshold"]).mean() >= 0.6 and not any(R._phrase(x) for x in UNLISTED)
+    assert (z(SOUND) <= report["threshold"]).all()
+
+
+def test_one_model_at_any_batch_size(spark, sf):
+    rows = _texts(spark, sf).filter("text is not null")
+    w0, b0, report0 = R.train(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+        w, b, report = R.train(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert report == report0 and b == b0 and np.array_equal(w, w0)
+
+
+def test_operator(spark):
+    """The classifier alone gives the rows; they agree with the weak labels, and odd input does no harm."""
+    rows = _texts(spark, SF)
+    found, _ = R.find_residue(rows)
+    got = {(r.kind, r.record_id) for r in found.collect()}
+    want = {(r.kind, r.record_id) for r in rows.collect() if r.text and any(R._phrase(s) for s, _ in R._cut(r.text))}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    odd = spark.createDataFrame(
+        [("a", None, None, "k", "lorem ipsum dolor sit amet"), ("b", "h", "real", "k", None), ("c", "h", "real", "k", ""), (None, "h", "real", "k", "Real words stand here. " * 3000),
+         ("d", "h", "real", "k", "Sound."), ("d", "h", "real", "k", "Sound.")], "record_id string, host string, status string, kind string, text string")
+    assert R.find_residue(odd.withColumn("segment", F.lit(1)))[0].columns == ["record_id", "kind", "score", "segment"]
+    assert "b" not in {r.record_id for r in R.find_residue(odd)[0].collect()} and R.find_residue(odd.limit(0))[0].count() == 0
+
 
 REAL = ["The façade on the north side shall reduce heat gains by 12 % before handover.", "Clause 4.2: every ramp opens onto the courtyard and a clear route.",
         "Error messages shown on the panel shall be explained beside it.", "Room 404 opens onto the hall and is not found on the older plan.", "Values in the set {52, 95} are permitted.",
