@@ -1,7 +1,7 @@
 """Evaluation passages leaking into training text, found with suffix arrays over shards of the corpus.
 
 Texts become sequences of word numbers (case, accents, punctuation, markup, hyphenation and layout gone).
-Every shard sorts its suffixes, all test suffixes are binary-searched in it, and each longest verbatim match is
+Every shard sorts its suffixes in full, all test suffixes are binary-searched in it, and each longest verbatim match is
 extended over an occasional changed, added or lost word.
 """
 
@@ -18,14 +18,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: words of a verbatim match to start from (a power of 2), words of a passage that make a leak, share of them that must agree
-SEED_WORDS, MIN_WORDS, MIN_AGREE = 8, 25, 0.85
+#: words of a passage that make a leak, share of them that must agree
+MIN_WORDS, MIN_AGREE = 25, 0.85
+#: words of a verbatim match to start from: of n >= 25 words with at most 15 % changed, some 5 stand unchanged in a row
+SEED_WORDS = 5
+#: a run of words that stands in more items than this is common wording; a match starts from it only with the words that make it rarer
+COMMON_ITEMS = 64
+#: of the words about a seed so many must agree, on a diagonal no further off than this, before it is looked at closely: any NEAR_WORDS
+#: of a leak's window of 25 hold at least 17 (of 25 agree 22)
+NEAR_WORDS, NEAR_AGREE, NEAR_SHIFT = 20, 15, 3
 #: characters of text sorted at once; a single longer text is a shard of its own
 SHARD_CHARS = 6_000_000
 #: the held-out side is sent to every executor; a larger one is searched in several passes of this size
 EVAL_CHARS = 16_000_000
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|sup|sub|code|mark|font|small|tt|s)(?:\s[^<>]*)?/?>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,400}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _BREAK = re.compile(r"[-­‐‑]\s*\n\s*")
 _SPELT = [("ß", "ss"), ("ẞ", "ss"), ("œ", "oe"), ("Œ", "oe"), ("æ", "ae"), ("Æ", "ae"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("\r", "\n")]
@@ -36,7 +43,8 @@ _SKIP, _HYPHEN = 1, 2
 def _codes() -> np.ndarray:
     """Per code point: 0 between words, 1 nothing, 2 a hyphen inside a word, else the plain lower-case character."""
     lut = np.zeros(0x110000, np.uint32)
-    for o in range(0x30000):
+    lut[0xE0000:0xE0200] = _SKIP  # tags and selectors; no letter stands above the third plane's
+    for o in range(0x32400):
         c = chr(o)
         kind = unicodedata.category(c)
         if kind in ("Mn", "Me", "Cf") or c in "*_`~":
@@ -102,50 +110,119 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Passages:
-    """The test side: its words numbered, and where each item's words begin."""
+    """The test side: its words numbered, where each item's words begin, and from how many words on a match starts at each."""
 
     def __init__(self, ids: list, texts: list[str]):
         h, hyphens, item = words_of(texts)
         self.vocab = np.unique(h)
-        self.words = np.searchsorted(self.vocab, h).astype(np.int64)
-        self.weight = np.r_[0, np.cumsum(hyphens + 1)]
-        self.item, self.ids = item, ids
-        n = len(h)
-        ok = np.arange(n) + SEED_WORDS <= n
-        ok[ok] = item[np.flatnonzero(ok)] == item[np.flatnonzero(ok) + SEED_WORDS - 1]
-        self.starts = np.flatnonzero(ok)
-        self.bounds = np.searchsorted(item, np.arange(len(texts) + 1))
-
-
-def _suffix_order(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The positions `at` sorted by their next SEED_WORDS words, by doubling: ranks of 1, 2, 4 .. words."""
-    rank = np.r_[words + 1, np.zeros(SEED_WORDS, np.int64)]
-    step, n = 1, len(words)
-    while step < SEED_WORDS:
-        key = rank[:n] * (int(rank.max()) + 1) + rank[step : n + step]
-        rank[:n] = np.unique(key, return_inverse=True)[1] + 1
+        words = np.searchsorted(self.vocab, h).astype(np.int64)
+        # a gap of one word, equal to none, behind each item
+        at = np.arange(len(h)) + item
+        self.words = np.full(len(h) + len(texts) + MIN_WORDS + NEAR_WORDS, -2, np.int64)
+        self.words[at] = words
+        self.item = np.full(len(self.words), -1, np.int64)
+        self.item[at] = item
+        weight = np.zeros(len(self.words), np.int64)
+        weight[at] = hyphens + 1
+        self.weight, self.total = weight, np.r_[0, np.cumsum(weight)]
+        self.ids = ids
+        self.bounds = np.searchsorted(item, np.arange(len(texts) + 1)) + np.arange(len(texts) + 1)
+        self.starts, self.need = self._seeds(at)
+
+    def _seeds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, words needed there): SEED_WORDS, more where these stand in more than COMMON_ITEMS items, at most MIN_WORDS."""
+        for k in range(SEED_WORDS):  # places with so many words left
+            at = at[self.words[at + k] >= 0]
+        rank = np.zeros(len(at), np.int64)
+        for k in range(SEED_WORDS):
+            rank = np.unique(rank * (len(self.vocab) + 1) + self.words[at + k], return_inverse=True)[1]
+        place, need = [], []
+        for n in range(SEED_WORDS, MIN_WORDS + 1):
+            if not len(at):
+                break
+            pairs = np.unique(rank * (len(self.ids) + 1) + self.item[at]) // (len(self.ids) + 1)
+            common = np.bincount(pairs, minlength=int(rank.max()) + 1)[rank] > COMMON_ITEMS
+            good = ~common if n < MIN_WORDS else np.ones(len(at), bool)
+            place.append(at[good])
+            need.append(np.full(int(good.sum()), n))
+            more = common & (self.words[np.minimum(at + n, len(self.words) - 1)] >= 0)
+            at, rank = at[more & ~good], rank[more & ~good]
+            rank = np.unique(rank * (len(self.vocab) + 1) + self.words[at + n], return_inverse=True)[1] if len(at) else rank
+        place_, need_ = np.concatenate(place) if place else at, np.concatenate(need) if need else at
+        o = np.argsort(place_)
+        return place_[o], need_[o]
+
+
+def suffix_order(words: np.ndarray) -> np.ndarray:
+    """The positions of known words (>= 0) by the suffixes that begin there, in full: a suffix ends before the next unknown word.
+
+    By doubling: ranks of 1, 2, 4 .. words; only what is still tied is sorted again. Equal suffixes stand in order of position.
+    """
+    n = len(words)
+    known = np.flatnonzero(words >= 0)
+    lone = n - len(known)
+    rank = np.empty(n + 1, np.int64)
+    rank[np.flatnonzero(words < 0)] = np.arange(lone)  # an unknown word is like no other
+    rank[n] = -1
+    order = known[np.argsort(words[known], kind="stable")]
+    w = words[order]
+    head = np.r_[True, w[1:] != w[:-1]] if len(order) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    rank[order] = lone + start
+    step = 1
+    while True:
+        alone = head & np.r_[head[1:], True] if len(order) else head
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
+            return order
+        pos = order[tied]
+        group, then = rank[pos], rank[np.minimum(pos + step, n)]
+        o = np.argsort(group * (n + 2) + then + 1, kind="stable")
+        pos, group, then = pos[o], group[o], then[o]
+        order[tied] = pos
+        head[tied] = np.r_[True, (group[1:] != group[:-1]) | (then[1:] != then[:-1])]
+        first = np.maximum.accumulate(np.where(head[tied], tied, 0))
+        rank[pos] = lone + first
         step *= 2
-    return at[np.argsort(rank[at], kind="stable")]
 
 
-def _search(words: np.ndarray, order: np.ndarray, test: np.ndarray, at: np.ndarray, upper: bool) -> np.ndarray:
-    """For each test suffix the first place in the order not below (or above) its first SEED_WORDS words; all at once."""
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+def _search(words: np.ndarray, order: np.ndarray, test: np.ndarray, at: np.ndarray, need: np.ndarray, upper: bool, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each test suffix the first place in order[lo:hi] not below (or above) its first `need` words; all at once."""
+    lo, hi = lo.copy(), hi.copy()
     while True:
         open_ = np.flatnonzero(lo < hi)
         if not len(open_):
             return lo
         mid = (lo[open_] + hi[open_]) // 2
-        p, q = order[mid], at[open_]
+        p, q, n = order[mid], at[open_], need[open_]
         sign = np.zeros(len(open_), np.int64)
-        for k in range(SEED_WORDS):
+        for k in range(int(n.max())):
             d = np.sign(words[p + k] - test[q + k])
-            sign = np.where(sign == 0, d, sign)
+            sign = np.where((sign == 0) & (k < n), d, sign)
+            if (sign != 0).all():
+                break
         right = (sign <= 0) if upper else (sign < 0)
         lo[open_] = np.where(right, mid + 1, lo[open_])
         hi[open_] = np.where(right, hi[open_], mid)
 
 
+def _near(words: np.ndarray, passages: Passages, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which seeds stand among NEAR_WORDS words of the item that agree by NEAR_AGREE or more, a word by any diagonal near its own."""
+    out = np.zeros(len(p), bool)
+    span, shift = np.arange(-(NEAR_WORDS - 1), NEAR_WORDS), np.arange(-NEAR_SHIFT, NEAR_SHIFT + 1)
+    for a in range(0, len(p), 20_000):
+        qq = q[a : a + 20_000, None] + span
+        t = passages.words[np.clip(qq, 0, len(passages.words) - 1)]
+        ok = (qq >= 0) & (passages.item[np.clip(qq, 0, len(passages.words) - 1)] == passages.item[q[a : a + 20_000], None])
+        agree = np.zeros(t.shape, bool)
+        for d in shift:
+            agree |= words[np.clip(p[a : a + 20_000, None] + span + d, 0, len(words) - 1)] == t
+        got = np.cumsum(np.where(agree & ok, passages.weight[np.clip(qq, 0, len(passages.words) - 1)], 0), 1)
+        got = np.concatenate([np.zeros((len(got), 1), got.dtype), got], 1)
+        out[a : a + 20_000] = (got[:, NEAR_WORDS:] - got[:, :-NEAR_WORDS]).max(1) >= NEAR_AGREE
+    return out
+
+
 _EDITS = [(1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3)]
 
 
@@ -171,55 +248,73 @@ def _grow(a, b, i: int, j: int, step: int, a_end: int, b_end: int) -> tuple[int,
 
 def match_shard(texts: list[str], passages: Passages) -> list[tuple[int, int, int, int, int, int]]:
     """(text number, item number, passage words, agreeing words, longest verbatim match, first word in the text)."""
-    h, _, doc = words_of(texts)
+    h, _, text_of = words_of(texts)
     if not len(h) or not len(passages.starts):
         return []
-    place = np.searchsorted(passages.vocab, h)
-    place = np.minimum(place, len(passages.vocab) - 1)
-    words = np.where(passages.vocab[place] == h, place, -1).astype(np.int64)
-    # only suffixes whose first words all occur on the test side can match
-    unknown = np.r_[0, np.cumsum(words < 0)]
-    n = len(words)
-    at = np.arange(max(0, n - SEED_WORDS + 1))
-    at = at[(unknown[at + SEED_WORDS] == unknown[at]) & (doc[at] == doc[at + SEED_WORDS - 1])]
-    if not len(at):
+    place = np.minimum(np.searchsorted(passages.vocab, h), len(passages.vocab) - 1)
+    # a gap of one word, equal to none, behind each text and at the end
+    at = np.arange(len(h)) + text_of
+    words = np.full(len(h) + len(texts) + MIN_WORDS + NEAR_WORDS, -1, np.int64)
+    words[at] = np.where(passages.vocab[place] == h, place, -1)
+    doc = np.zeros(len(words), np.int64)
+    doc[at] = text_of
+    order = suffix_order(words)
+    # a suffix shorter than a seed can't match
+    run = np.zeros(len(words), bool)
+    run[: -SEED_WORDS] = np.logical_and.reduce([words[k : len(words) - SEED_WORDS + k] >= 0 for k in range(SEED_WORDS)])
+    order = order[run[order]]
+    if not len(order):
         return []
-    order = _suffix_order(words, at)
-    t = passages.words
-    lo, hi = _search(words, order, t, passages.starts, False), _search(words, order, t, passages.starts, True)
+    t, starts, need = passages.words, passages.starts, passages.need
+    least = np.full(len(starts), SEED_WORDS)
+    none, all_ = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
+    lo, hi = _search(words, order, t, starts, least, False, none, all_), _search(words, order, t, starts, least, True, none, all_)
+    long = np.flatnonzero((need > SEED_WORDS) & (hi > lo))
+    if len(long):
+        a, b = lo[long].copy(), hi[long].copy()
+        lo[long] = _search(words, order, t, starts[long], need[long], False, a, b)
+        hi[long] = _search(words, order, t, starts[long], need[long], True, a, b)
     counts = hi - lo
-    hit = np.flatnonzero(counts)
+    hit = np.flatnonzero(counts > 0)
     if not len(hit):
         return []
-    q = np.repeat(passages.starts[hit], counts[hit])
-    p = order[np.repeat(lo[hit] - np.r_[0, np.cumsum(counts[hit])[:-1]], counts[hit]) + np.arange(counts[hit].sum())]
-    # keep matches that can't be lengthened to the left: the others are inside one that can
-    left = (p == 0) | (q == 0)
-    left |= (doc[np.maximum(p - 1, 0)] != doc[p]) | (passages.item[np.maximum(q - 1, 0)] != passages.item[q]) | (words[np.maximum(p - 1, 0)] != t[np.maximum(q - 1, 0)])
-    p, q = p[left], q[left]
-    o = np.lexsort((q, p, passages.item[q], doc[p]))
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    counts = counts[hit]
+    q = np.repeat(starts[hit], counts)
+    p = order[np.repeat(lo[hit] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())]
+    # of seeds that follow each other on a diagonal the first counts: the others are inside its match
+    o = np.lexsort((p, p - q, passages.item[q], doc[p]))
+    p, q = p[o], q[o]
+    first = np.r_[True, (np.diff(p) != 1) | (np.diff(q) != 1)]
+    p, q = p[first], q[first]
+    near = _near(words, passages, p, q)
+    p, q = p[near], q[near]
+    if not len(p):
+        return []
+    ends = np.searchsorted(text_of, np.arange(len(texts) + 1)) + np.arange(len(texts) + 1)
     best: dict[tuple[int, int], tuple] = {}
     covered: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     wl, tl = words, t
-    for p0, q0 in zip(p[o].tolist(), q[o].tolist()):
+    for p0, q0 in zip(p.tolist(), q.tolist()):
         d, e = int(doc[p0]), int(passages.item[q0])
         seen = covered.setdefault((d, e), [])
         if any(a <= p0 < b and x <= q0 < y for a, b, x, y in seen):
             continue
         k = SEED_WORDS
-        d_end, e_end = int(ends[d + 1]), int(passages.bounds[e + 1])
-        while p0 + k < d_end and q0 + k < e_end and wl[p0 + k] == tl[q0 + k]:
+        while wl[p0 + k] == tl[q0 + k]:
             k += 1
+        back = 0
+        while p0 > back and q0 > back and wl[p0 - back - 1] == tl[q0 - back - 1]:
+            back += 1
+        d_end, e_end = int(ends[d + 1]) - 1, int(passages.bounds[e + 1]) - 1
         i2, j2, more = _grow(wl, tl, p0 + k, q0 + k, 1, d_end, e_end)
-        i1, j1, less = _grow(wl, tl, p0 - 1, q0 - 1, -1, int(ends[d]) - 1, int(passages.bounds[e]) - 1)
+        i1, j1, less = _grow(wl, tl, p0 - back - 1, q0 - back - 1, -1, int(ends[d]) - 1, int(passages.bounds[e]) - 1)
         i1, j1 = i1 + 1, j1 + 1
         seen.append((i1, i2, j1, j2))
-        agree = k + more + less
-        span = int(passages.weight[j2] - passages.weight[j1])
+        agree = k + back + more + less
+        span = int(passages.total[j2] - passages.total[j1])
         if span >= MIN_WORDS and agree >= MIN_AGREE * max(i2 - i1, j2 - j1):
             got = best.get((d, e))
-            longest = max(k, got[2] if got else 0)
+            longest = max(k + back, got[2] if got else 0)
             best[d, e] = (span, agree, longest, i1 - int(ends[d])) if not got or span > got[0] else (*got[:2], longest, got[3])
     return [(d, e, *v) for (d, e), v in best.items()]
 
@@ -227,8 +322,9 @@ def match_shard(texts: list[str], passages: Passages) -> list[tuple[int, int, in
 def find_leaks(docs: DataFrame, evals: DataFrame, doc_id: str = "doc_id", text: str = "text", eval_id: str = "eval_id", eval_text: str = "text") -> DataFrame:
     """One row per (document, test item it leaks): doc_id, eval_id, passage_words, agreeing_words, longest_verbatim, first_word.
 
-    A leak is a run of at least MIN_WORDS words of the item, MIN_AGREE of which stand in the document in order; it holds
-    a verbatim run of SEED_WORDS words. passage_words is the longest such run. Null and empty texts leak nothing; an
+    A leak is a run of at least MIN_WORDS words of the item, MIN_AGREE of which stand in the document in order; such a run
+    has SEED_WORDS words unchanged in a row. Wording that more than COMMON_ITEMS items share starts a match only with the
+    words that make it rarer, so that a common sentence doesn't pair every document with every item. passage_words is the longest such run. Null and empty texts leak nothing; an
     item shorter than MIN_WORDS can't leak; items that repeat an id are one. Every document is judged for itself, so
     copies all come out, and nothing is shuffled: shards of documents are sorted and searched where they are read.
     """

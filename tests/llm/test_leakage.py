@@ -33,10 +33,50 @@ def test_suffix_order_against_sorting():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    words = rng.integers(-1, 4, 300)
-    at = np.arange(300 - L.SEED_WORDS + 1)
-    got = [tuple(words[p : p + L.SEED_WORDS]) for p in L._suffix_order(words, at)]
-    assert got == sorted(got)
+    for n, most in ((0, 2), (1, 2), (300, 4), (300, 1), (2000, 2)):
+        words = rng.integers(-1, most, n)
+        if n == 2000:
+            words[500:900] = words[0:400]  # a long repeat
+        known = np.flatnonzero(words >= 0)
+        stop = [next((k for k in range(p, n) if words[k] < 0), n) for p in range(n)]
+        want = sorted(known.tolist(), key=lambda p: (*words[p : stop[p]].tolist(), *([-5, stop[p]] if stop[p] < n else [-9])))
+        got = L.suffix_order(words).tolist()
+        assert sorted(got) == known.tolist()
+        full = lambda p: words[p : stop[p]].tolist()
+        assert [full(p) for p in got] == [full(p) for p in want]
+
+
+def _leaks(docs, items):
+    return {(d, e): v for d, e, *v in L.match_shard([" ".join(x) for x in docs], L.Passages(list(range(len(items))), [" ".join(x) for x in items]))}
+
+
+def test_any_passage_of_the_rule_is_found():
+    """Changed words as often as the rule allows, wherever they stand."""
+    rng = random.Random(9)
+    item = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    docs = []
+    for n, at in [(25, (6, 13, 20)), (28, (7, 14, 21)), (27, (5, 11, 17, 22)), (34, (5, 11, 17, 23, 28)), (47, (5, 11, 17, 23, 29, 35, 41))]:
+        part = item[40 : 40 + n]
+        docs.append([rng.choice(W) for _ in range(30)] + [("changed" if i in at else w) for i, w in enumerate(part)] + [rng.choice(W) for _ in range(30)])
+    got = _leaks(docs, [item])
+    # the first ends in the fifth word behind its last change, the others agree in 85 of 100
+    assert {d for d, _ in got} == set(range(len(docs)))
+    few = [("changed" if i % 5 == 4 else w) for i, w in enumerate(item[40:80])]
+    assert not _leaks([few], [item])
+
+
+def test_common_wording_starts_no_match_alone():
+    import time
+
+    rng = random.Random(4)
+    common = [f"c{chr(97 + i)}" for i in range(20)]
+    own = lambda: [f"o{rng.randrange(10**6)}" for _ in range(40)]
+    items = [own() + common + own() for _ in range(300)]
+    docs = [own() + common + own() for _ in range(2000)] + [items[7][10:70]]
+    began = time.time()
+    got = _leaks(docs, items)
+    assert set(got) == {(2000, 7)} and got[2000, 7][0] == 60
+    assert time.time() - began < 20
 
 
 def test_words_are_alike():
