@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
 import shutil
 import tempfile
-import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach, as the cluster names it; a local one only on a local master where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder: intermediate tables need one off a local master")
+    return os.path.join(tempfile.gettempdir(), "lodestack-checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a local one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lodestack-checkpoints"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -44,15 +53,40 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished phases: Spark drops them once the driver finds that nothing refers to them.
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut`, by a table written once to the shared folder and read back; the shuffle files behind it go with the write.
 
-    Worth it between the phases of a long operator, when their results are checkpointed: disk is then bounded by a phase.
+    For frames of our own columns (plain types, names of a table). The application's tables are removed when it ends.
     """
-    for _ in range(2):  # Python's references reach the driver a little later than they are let go
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.java.lang.System.gc()
+    spark = df.sparkSession
+    folder = _own_folder(spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    try:
+        spark.conf.set(cleanup, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this application inside the shared one, removed at its end."""
+    sc = spark.sparkContext
+    got = getattr(sc, "_lodestack_folder", None)
+    if got is None:
+        got = sc._lodestack_folder = f"{shared_folder(spark)}/lodestack-{uuid.uuid4().hex}"
+
+        def remove() -> None:
+            try:
+                path = sc._jvm.org.apache.hadoop.fs.Path(got)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            except Exception:  # noqa: BLE001 - the session is gone already, and with it the way to the folder
+                return
+
+        atexit.register(remove)
+    return got
 
 
 def task_slots(spark: SparkSession) -> int:
