@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import clean, word_tokens
+from lodestack.functions.text import clean, code_prefixes, word_tokens
 
 
 def keyword_tags(items: DataFrame, item_id: str, text: str, lexicon: list[tuple[str, str, float]]) -> DataFrame:
@@ -36,17 +36,67 @@ def code_links(items: DataFrame, item_id: str, text: str, codes: DataFrame, patt
 def resolve_references(refs: DataFrame, documents: DataFrame, least: float = 0.6, least_words: int = 2) -> DataFrame:
     """(ref_id, document_id, overlap): the document whose title shares the largest part of a reference's words, at least `least`.
 
-    Words are exploded and counted by an equi-join, so no reference meets documents it shares nothing with. Ties go to the
-    smaller document id; references of fewer than `least_words` words resolve to nothing.
+    A reference meets only documents that share one of its rarest words: of n words, need of which must be shared, one of
+    the n - need + 1 rarest is among them. Ties go to the smaller document id; references of fewer than `least_words` words
+    resolve to nothing; words are counted once.
     """
     r = refs.select("ref_id", F.array_distinct(word_tokens(F.col("raw_text"))).alias("w")).filter(F.size("w") >= least_words)
-    d = documents.select("document_id", F.explode(F.array_distinct(word_tokens(F.col("title")))).alias("word"))
-    hits = r.select("ref_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(d, "word").groupBy("ref_id", "document_id", "n").agg(F.count("*").alias("hits"))
-    scored = hits.withColumn("overlap", F.round(F.col("hits") / F.col("n"), 6)).filter(F.col("overlap") >= least)
+    d = documents.select("document_id", F.array_distinct(word_tokens(F.col("title"))).alias("dw"))
+    words = d.select("document_id", "dw", F.explode("dw").alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("n_titles"))
+    told = r.select("ref_id", "w", F.explode("w").alias("word")).join(known, "word", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n_titles", F.lit(0)).alias("n"), "word")))
+    need = F.ceil(F.size("w") * F.lit(least - 5e-7))
+    rare = told.groupBy("ref_id", "w").agg(order.alias("o")).select("ref_id", "w", F.explode(F.slice("o", F.lit(1), (F.size("w") - need + 1).cast("int"))).alias("x"))
+    pairs = rare.select("ref_id", "w", F.col("x.word").alias("word")).join(words, "word").groupBy("ref_id", "document_id").agg(F.first("w").alias("w"), F.first("dw").alias("dw"))
+    scored = pairs.withColumn("overlap", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6)).filter(F.col("overlap") >= least)
     best = F.min(F.struct((-F.col("overlap")).alias("o"), "document_id")).alias("b")
     return scored.groupBy("ref_id").agg(best).select("ref_id", "b.document_id", (-F.col("b.o")).alias("overlap"))
 
 
+def reference_states(refs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(ref_id, resolution, document_id) of references with ref_id, ref_kind, raw_text.
+
+    `resolved` where a title of the corpus matches; else `missing_source` for references to documents outside, and for those
+    that name a module by its number and are of a chapter or page; `unresolved` for the rest.
+    """
+    found = resolve_references(refs, documents).select("ref_id", "document_id")
+    numbered = F.col("ref_kind").isin("module_chapter", "page") & F.col("raw_text").rlike(r"(?i)\bmodule\s+[0-9]")
+    outside = F.col("ref_kind").isin("external_document", "sibling_doc")
+    state = F.when(F.col("document_id").isNotNull(), "resolved").when(F.coalesce(numbered | outside, F.lit(False)), "missing_source").otherwise("unresolved")
+    return refs.select("ref_id", "ref_kind", "raw_text").join(found, "ref_id", "left").select("ref_id", state.alias("resolution"), "document_id")
+
+
+def prefix_tags(items: DataFrame, item_id: str, code: str, terms: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """(item_id, term_id, confidence): the term whose code is the longest prefix of an item's code, cut level by level.
+
+    `terms` has code and term_id. Prefixes are exploded and equi-joined; ties go to the smaller term id.
+    """
+    cut_ = items.select(F.col(item_id).alias("item_id"), F.posexplode(code_prefixes(F.col(code))).alias("cut_off", "code"))
+    best = F.min(F.struct("cut_off", "term_id")).alias("b")
+    return cut_.join(terms.select("code", "term_id"), "code").groupBy("item_id").agg(best).select("item_id", "b.term_id", F.lit(confidence).alias("confidence"))
+
+
+def same_branch(words: DataFrame, structural: DataFrame, paths: DataFrame) -> DataFrame:
+    """Of keyword tags (item_id, term_id, ..) those of items without structural tags, and those whose path begins a structural
+    tag's or goes on from it. `paths` has term_id and path; a term without path is in no branch."""
+    mine = structural.join(paths, "term_id", "left").groupBy("item_id").agg(F.collect_set("path").alias("branches"))  # the tags of one item
+    told = words.join(paths, "term_id", "left").join(mine, "item_id", "left")
+    near = F.exists("branches", lambda p: F.startswith(p, F.col("path")) | F.startswith(F.col("path"), p))
+    return told.filter(F.col("branches").isNull() | near).select(words.columns)
+
+
+def link_stages(candidates: DataFrame, crosswalk: DataFrame, stages: DataFrame) -> DataFrame:
+    """(item_id, stage_id, confidence): stages named by an item and those one step along the crosswalk, the surest of each.
+
+    `candidates` has item_id, stage_id, confidence (of any rules, united); `crosswalk` has stage_id and equal_id; stages that
+    `stages` (stage_id) doesn't know are dropped.
+    """
+    across = candidates.join(crosswalk, "stage_id").select("item_id", F.col("equal_id").alias("stage_id"), "confidence")
+    return candidates.select("item_id", "stage_id", "confidence").unionByName(across).join(stages.select("stage_id").distinct(), "stage_id", "left_semi").groupBy(
+        "item_id", "stage_id").agg(F.max("confidence").alias("confidence"))
+
+
 def compose(base: Column, facts: list[tuple[str, Column]], fallback: Column) -> Column:
     """Base text and labelled facts, one per line; a fact that is null or stands in the base already is left out."""
     body = F.coalesce(clean(base), F.lit(""))

@@ -11,29 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.sources.tables import cut
+from lodestack.sources.tables import stored
 
 #: a pointer shared by more unresolved nodes than this is joined in salted pieces
 HOT_POINTER_ROWS = 200_000
 
 
-def _lookup(unresolved: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
-    """unresolved left-joined with state on (tree, ptr), hot pointers split into salted pieces."""
-    hot = (
-        unresolved.groupBy("tree", "ptr").count().filter(F.col("count") > hot_rows)
-        .select(F.col("tree").alias("hot_tree"), F.col("ptr").alias("hot_id"), F.ceil(F.col("count") / hot_rows).cast("int").alias("pieces"))
-    )
+def _lookup(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int, n_left: int | None = None) -> DataFrame:
+    """left joined with right on `keys` (left outer), hot keys split into salted pieces; n_left, if known, tells whether any can be hot."""
+    if n_left is not None and n_left <= hot_rows:
+        return left.join(right, keys, "left")
+    hot = left.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("pieces"))
+    hot = stored(hot)
     if hot.isEmpty():
-        return unresolved.join(state, ["tree", "ptr"], "left")
-    left = (
-        unresolved.join(hot, (F.col("tree") == F.col("hot_tree")) & (F.col("ptr") == F.col("hot_id")), "left").drop("hot_tree", "hot_id")
-        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
-    )
-    right = (
-        state.join(hot, (F.col("tree") == F.col("hot_tree")) & (F.col("ptr") == F.col("hot_id")), "left").drop("hot_tree", "hot_id")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))).drop("pieces")
-    )
-    return left.join(right, ["tree", "ptr", "salt"], "left").drop("salt")
+        return left.join(right, keys, "left")
+    pieces = F.coalesce("pieces", F.lit(1))
+    salted = left.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("n"), pieces).cast("int")).drop("pieces")
+    spread = right.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    return salted.join(spread, [*keys, "salt"], "left").drop("salt")
 
 
 def resolve_hierarchy(
@@ -55,6 +50,10 @@ def resolve_hierarchy(
     one with the least (parent, label) counts, null parent first. A null label stays a null
     segment; an empty parent_id is an id like any other. An empty table gives an empty result;
     further columns are ignored, whatever their names.
+
+    Nodes are numbered once, and only those with children take part in the rounds: the others
+    get their parent's path at the end. Hot pointers are looked for only where there are enough
+    open nodes to make one.
     """
     base = (
         nodes.select(tree.cast("string").alias("tree"), F.col(node_id).cast("string").alias("id"),
@@ -63,85 +62,83 @@ def resolve_hierarchy(
         .groupBy("tree", "id").agg(F.min(F.struct(F.col("parent"), F.col("label"))).alias("m"))
         .select("tree", "id", F.col("m.parent").alias("parent"), F.col("m.label").alias("label"))
     )
-    base = cut(base)
-    ids = base.select("tree", F.col("id").alias("parent")).withColumn("known", F.lit(True))
-    links = base.select("tree", "id", "parent").filter("parent is not null")
-    known = _lookup(links.withColumnRenamed("parent", "ptr"), ids.withColumnRenamed("parent", "ptr"), hot_rows)
-    missing = known.filter("known is null").select("tree", "id", F.lit(True).alias("missing"))
-    state = (
-        base.join(missing, ["tree", "id"], "left")
-        .withColumn("missing", F.coalesce("missing", F.lit(False)))
-        .select(
-            "tree", "id", "parent",
-            F.when(F.col("missing"), F.lit(None)).otherwise(F.col("parent")).alias("ptr"),
-            F.array("id").alias("id_path"), F.array("label").alias("label_path"),
-            F.when(F.col("missing") | F.col("parent").isNull(), F.col("id")).alias("root_id"),
-            F.col("missing").alias("head_missing"), "missing",
-        )
-    )
-    done = cut(state.filter("root_id is not null"))
-    open_ = cut(state.filter("root_id is null"))
-    finished, n_open = [done], open_.count()
+    base = stored(base.withColumn("n", F.monotonically_increasing_id()))
+    n_all = base.count()
+    links = base.filter("parent is not null").select("tree", "parent", "n")
+    ups = stored(_lookup(links, base.select("tree", F.col("id").alias("parent"), F.col("n").alias("up")), ["tree", "parent"], hot_rows, n_all).select("n", "up"))
+    inner = ups.filter("up is not null").select(F.col("up").alias("n")).distinct().withColumn("inner", F.lit(True))
+    # up: the parent's number; linked without up: the parent is missing
+    every = stored(
+        base.join(ups.withColumn("linked", F.lit(True)), "n", "left").join(inner, "n", "left").select(
+            "n", "tree", "id", "parent", "label", "up", F.coalesce("inner", F.lit(False)).alias("inner"),
+            (F.col("linked").isNotNull() & F.col("up").isNull()).alias("missing")))
+    head = F.when(F.col("up").isNull(), F.col("id"))
+    state = every.filter("inner").select(
+        "n", F.col("up").alias("ptr"), F.array("id").alias("id_path"), F.array("label").alias("label_path"), head.alias("root_id"), F.col("missing").alias("head_missing"))
+    finished, open_ = [state.filter("ptr is null")], stored(state.filter("ptr is not null"))
+    n_open = open_.count()
+    loops = None
     while n_open:
-        reach = done.unionByName(open_).select(
-            "tree", F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("root_id").alias("far_root"),
-            F.col("head_missing").alias("far_missing"),
-            F.col("id_path").alias("far_ids"), F.col("label_path").alias("far_labels"),
-        )
-        step = _lookup(open_.drop("root_id", "head_missing"), reach, hot_rows).select(
-            "tree", "id", "parent", F.col("next").alias("ptr"),
-            F.concat("far_ids", "id_path").alias("id_path"), F.concat("far_labels", "label_path").alias("label_path"),
-            F.col("far_root").alias("root_id"), F.col("far_missing").alias("head_missing"), "missing",
-        )
-        step = cut(step)
-        now, rest = step.filter("root_id is not null"), step.filter("root_id is null")
-        n_rest = rest.count()
+        reach = _union([*finished, open_]).select(
+            F.col("n").alias("ptr"), F.col("ptr").alias("next"), F.col("root_id").alias("far_root"), F.col("head_missing").alias("far_missing"),
+            F.col("id_path").alias("far_ids"), F.col("label_path").alias("far_labels"))
+        step = stored(_lookup(open_.drop("root_id", "head_missing"), reach, ["ptr"], hot_rows, n_open).select(
+            "n", F.col("next").alias("ptr"), F.concat("far_ids", "id_path").alias("id_path"), F.concat("far_labels", "label_path").alias("label_path"),
+            F.col("far_root").alias("root_id"), F.col("far_missing").alias("head_missing")))
+        open_ = step.filter("ptr is not null")
+        n_rest = open_.count()
         if n_rest == n_open:  # depths are contiguous: a round that completes nothing leaves loops only
-            return _with_loops(_finish(finished), rest, hot_rows)
-        # resolved nodes deeper in the tree are found through the nodes just completed as well
-        finished.append(now)
-        done = _finish_state(finished)
-        open_, n_open = rest, n_rest
-    return _finish(finished)
+            loops = _on_loops(open_.select("n", "ptr"), hot_rows, n_rest)
+            break
+        # nodes deeper in the tree are found through the nodes just completed as well
+        finished.append(step.filter("ptr is null"))
+        n_open = n_rest
+    done = _union(finished).drop("ptr").withColumn("looped", F.lit(False))
+    if loops is not None:
+        none = T.ArrayType(T.StringType())
+        done = done.unionByName(loops.select(
+            "n", F.lit(None).cast(none).alias("id_path"), F.lit(None).cast(none).alias("label_path"), F.lit(None).cast("string").alias("root_id"),
+            F.lit(False).alias("head_missing"), F.col("on").alias("looped"), F.lit(True).alias("lost")), allowMissingColumns=True)
+    else:
+        done = done.withColumn("lost", F.lit(False))
+    done = done.withColumn("lost", F.coalesce("lost", F.lit(False)))
+    within = every.filter("inner").join(done, "n").select(
+        "tree", "id", "parent", "missing", "root_id", "id_path", "label_path", "head_missing",
+        F.when(F.col("looped"), "on_loop").when(F.col("lost"), "below_loop").alias("broken"))
+    outer = every.filter("not inner")
+    tops = outer.filter("up is null").select(
+        "tree", "id", "parent", "missing", F.col("id").alias("root_id"), F.array("id").alias("id_path"), F.array("label").alias("label_path"),
+        F.col("missing").alias("head_missing"), F.lit(None).cast("string").alias("broken"))
+    below = _lookup(outer.filter("up is not null"), done.withColumnRenamed("n", "up"), ["up"], hot_rows, n_all).select(
+        "tree", "id", "parent", "missing", "root_id", F.concat("id_path", F.array("id")).alias("id_path"), F.concat("label_path", F.array("label")).alias("label_path"),
+        "head_missing", F.when(F.col("lost"), "below_loop").alias("broken"))
+    return _union([within, tops, below]).select(
+        "tree", F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "root_id",
+        F.when(F.col("id_path").isNotNull(), F.size("id_path") - 1).alias("depth"), "id_path", "label_path",
+        F.coalesce("broken", F.when(F.col("missing"), "missing_parent").when(F.col("head_missing"), "detached").otherwise("ok")).alias("status"))
 
 
-def _finish_state(parts: list[DataFrame]) -> DataFrame:
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _finish(parts: list[DataFrame]) -> DataFrame:
-    return _finish_state(parts).select(
-        "tree", F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "root_id",
-        (F.size("id_path") - 1).alias("depth"), "id_path", "label_path",
-        F.when(F.col("missing"), "missing_parent").when(F.col("head_missing"), "detached").otherwise("ok").alias("status"),
-    )
-
-
-def _with_loops(resolved: DataFrame, rest: DataFrame, hot_rows: int) -> DataFrame:
-    """Adds the nodes that lead to loops. The images of ever longer jumps shrink to the loops themselves."""
-    jump = cut(rest.select("tree", "id", "ptr"))
-    image = jump.select("tree", "ptr").distinct()
-    size = image.count()
+def _on_loops(rest: DataFrame, hot_rows: int, n_rest: int) -> DataFrame:
+    """(n, on) of nodes that lead to loops. The images of ever longer jumps shrink to the loops themselves."""
+    jump = rest
+    size = jump.select("ptr").distinct().count()
     while True:
-        far = jump.select("tree", F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        jump = cut(_lookup(jump, far, hot_rows).select("tree", "id", F.col("next").alias("ptr")))
-        image = jump.select("tree", "ptr").distinct()
+        far = jump.select(F.col("n").alias("ptr"), F.col("ptr").alias("next"))
+        jump = stored(_lookup(jump, far, ["ptr"], hot_rows, n_rest).select("n", F.col("next").alias("ptr")))
+        image = jump.select("ptr").distinct()
         now = image.count()
         if now == size:
             break
         size = now
-    on = image.select("tree", F.col("ptr").alias("id"), F.lit(True).alias("on"))
-    loops = rest.join(on, ["tree", "id"], "left").select(
-        "tree", F.col("id").alias("node_id"), F.col("parent").alias("parent_id"),
-        F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("int").alias("depth"),
-        F.lit(None).cast(T.ArrayType(T.StringType())).alias("id_path"),
-        F.lit(None).cast(T.ArrayType(T.StringType())).alias("label_path"),
-        F.when(F.col("on"), "on_loop").otherwise("below_loop").alias("status"),
-    )
-    return resolved.unionByName(loops)
+    on = image.select(F.col("ptr").alias("n"), F.lit(True).alias("on"))
+    return stored(rest.select("n").join(on, "n", "left").select("n", F.coalesce("on", F.lit(False)).alias("on")))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -80,15 +80,18 @@ def lexical(df: DataFrame, query: str, text: str = "text") -> DataFrame:
 
 
 def cascade(df: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """All words; if nothing matches any word; if nothing matches the literal text, ranked 0. One result set, gated by emptiness."""
-    one = lexical(df, query, text).withColumn("leg", F.lit(1))
-    two = lexical(df, " or ".join(query_words(query)) or "\x00", text).withColumn("leg", F.lit(2))
-    three = df.filter(F.contains(F.lower(text), F.lit(query.lower()))).withColumns({"rank": F.lit(0.0), "leg": F.lit(3)})
-    has_one = one.limit(1).agg((F.count("*") > 0).alias("h1"))
-    has_two = two.limit(1).agg((F.count("*") > 0).alias("h2"))
-    gates = F.broadcast(has_one.crossJoin(has_two))  # one row each
-    both = one.unionByName(two).unionByName(three).crossJoin(gates)
-    return both.filter((F.col("leg") == 1) | ((F.col("leg") == 2) & ~F.col("h1")) | ((F.col("leg") == 3) & ~F.col("h1") & ~F.col("h2"))).drop("h1", "h2")
+    """All words; if nothing matches any word; if nothing matches the literal text, ranked 0. One result set, gated by emptiness.
+
+    Every row is marked once with the first leg it matches; the least leg that occurs is the gate, and its rows are given: a
+    row of an earlier leg is one of a later leg too.
+    """
+    either = " or ".join(query_words(query)) or "\x00"
+    literal = F.contains(F.lower(text), F.lit(query.lower()))
+    leg = F.when(matches(F.col(text), query), 1).when(matches(F.col(text), either), 2).when(literal, 3)
+    marked = df.withColumn("leg", leg).filter("leg is not null")
+    gate = F.broadcast(marked.agg(F.min("leg").alias("gate")))  # one row
+    hits = marked.crossJoin(gate).filter(F.col("leg") == F.col("gate")).drop("gate")
+    return hits.withColumn("rank", F.when(F.col("leg") == 3, F.lit(0.0)).otherwise(rank(F.col(text), query)))
 
 
 def top(df: DataFrame, score: str, key: str, limit: int = LEG_LIMIT, ascending: bool = False) -> DataFrame:

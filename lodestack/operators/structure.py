@@ -11,18 +11,60 @@ from pyspark.sql.window import Window
 from lodestack.operators.hierarchy import resolve_hierarchy
 
 
-def page_ends(nodes: DataFrame, group: str, order: str, level: str, page: str, most_levels: int = 12) -> DataFrame:
-    """page_end: the page before the next node at the same or a shallower level, null for the last.
+#: up to so many levels each gets a running window of its own, more are followed by a stack per group
+WINDOW_LEVELS = 32
 
-    One running window per level (levels are few) instead of a self join: the next position of a node no deeper than L.
+
+def _levels(nodes: DataFrame, level: str) -> list[int]:
+    """The levels that occur, if they are few enough for windows; else none."""
+    got = [r[0] for r in nodes.select(level).distinct().filter(F.col(level).isNotNull()).limit(WINDOW_LEVELS + 1).collect()]
+    return sorted(got) if len(got) <= WINDOW_LEVELS else []
+
+
+def page_ends(nodes: DataFrame, group: str, order: str, level: str, page: str) -> DataFrame:
+    """page_end: the page before the next node at the same or a shallower level, null for the last; next_page: that node's page.
+
+    One running window per level (levels are few) instead of a self join, from the end backwards, so that each row is added
+    once. Nodes without level have no end. However many levels there are, none is left out.
     """
-    ahead = Window.partitionBy(group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.min(F.when(F.col(level) <= n, F.struct(order, page))).over(ahead)[page] for n in range(most_levels + 1)]
+    levels = _levels(nodes, level)
+    if not levels:
+        return _ends(_by_stack(nodes, group, order, level, page, ahead=True), page)
+    behind = Window.partitionBy(group).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
     chosen = F.lit(None).cast("int")
-    for n, c in enumerate(nexts):
-        chosen = F.when(F.col(level) == n, c).otherwise(chosen)
-    return nodes.withColumn("next_page", chosen).withColumn(
-        "page_end", F.when(F.col("next_page").isNotNull(), F.greatest(F.col("next_page") - 1, F.col(page))))
+    for n in levels:
+        following = F.last(F.when(F.col(level) <= n, F.struct(F.col(page).alias("p"))), ignorenulls=True).over(behind)["p"]
+        chosen = F.when(F.col(level) == n, following).otherwise(chosen)
+    return _ends(nodes.withColumn("next_page", chosen), page)
+
+
+def _ends(nodes: DataFrame, page: str) -> DataFrame:
+    return nodes.withColumn("page_end", F.when(F.col("next_page").isNotNull(), F.greatest(F.col("next_page") - 1, F.col(page))))
+
+
+def _by_stack(nodes: DataFrame, group: str, order: str, level: str, value: str, ahead: bool, exact: bool = False) -> DataFrame:
+    """For trees of very many levels: a stack of the open nodes of each group. Adds next_page (ahead) or parent (the value of the node above)."""
+    out = "next_page" if ahead else "parent"
+    kind = dict(nodes.dtypes)[value] if ahead else "string"
+
+    def run(pdf):
+        pdf = pdf.sort_values(order, ascending=not ahead, kind="stable")
+        stack: list[tuple[int, object]] = []
+        got = []
+        for lv, v in zip(pdf[level], pdf[value]):
+            if lv is None or lv != lv:
+                got.append(None)
+                continue
+            while stack and (stack[-1][0] > lv if ahead else stack[-1][0] >= lv):
+                stack.pop()
+            top = stack[-1] if stack else None
+            got.append(top[1] if top and (not exact or top[0] == lv - 1) else None)
+            stack.append((lv, v))
+        pdf = pdf.assign(**{out: got})
+        return pdf.astype({out: "Int64"}) if kind in ("int", "bigint") else pdf
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes)
+    return nodes.groupBy(group).applyInPandas(run, f"{fields}, {out} {kind}")
 
 
 def forward_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, reset: Column | None = None, out: str = "filled") -> DataFrame:
@@ -33,10 +75,11 @@ def forward_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     return df.withColumn(out, F.last(F.coalesce(marked, has) if marked is not None else has, ignorenulls=True).over(w)["v"])
 
 
-def gap_clusters(df: DataFrame, group: Sequence[str], order: str, gap: float, out: str = "cluster") -> DataFrame:
-    """Numbers the runs of rows whose successive distances stay within `gap`."""
-    w = Window.partitionBy(*group).orderBy(order)
-    return df.withColumn("jump", F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(0))).withColumn(
+def gap_clusters(df: DataFrame, group: Sequence[str], order: str | Sequence[str], gap: float, out: str = "cluster") -> DataFrame:
+    """Numbers the runs of rows whose successive distances stay within `gap`; distances are of the first of `order`, the rest parts ties."""
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("jump", F.coalesce((F.col(order[0]) - F.lag(order[0]).over(w) > gap).cast("int"), F.lit(0))).withColumn(
         out, F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("jump")
 
 
@@ -57,23 +100,23 @@ def topological(nodes: DataFrame, tree: Column, node_id: str = "id", parent_id:
     return resolve_hierarchy(nodes, tree, node_id, parent_id).select("tree", "node_id", "status", F.col("depth").alias("level"))
 
 
-def recursive_depths(nodes: DataFrame, node_id: str = "id", parent_id: str = "parent_id", most: int = 60) -> DataFrame:
-    """Depth by plain recursion from the roots, for shallow trees; pointer doubling is the way for deep ones."""
-    nodes.select(F.col(node_id).alias("id"), F.col(parent_id).alias("parent_id")).createOrReplaceTempView("lodestack_tree_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, depth) AS (
-          SELECT id, 0 FROM lodestack_tree_nodes WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, w.depth + 1 FROM lodestack_tree_nodes n JOIN walk w ON n.parent_id = w.id WHERE w.depth < {most})
-        SELECT id, depth FROM walk""")
+def recursive_depths(nodes: DataFrame, node_id: str = "id", parent_id: str = "parent_id") -> DataFrame:
+    """id, depth of every node that a walk from a root reaches, at any depth."""
+    return resolve_hierarchy(nodes, F.lit("t"), node_id, parent_id).filter("status = 'ok'").select(F.col("node_id").alias("id"), "depth")
+
 
+def parents_by_level(nodes: DataFrame, group: str, order: str, level: str, node_id: str, exact: bool = False) -> DataFrame:
+    """parent: the last node before a row that is shallower (with `exact`, exactly one level up and not cut off by a shallower one).
 
-def parents_by_level(nodes: DataFrame, group: str, order: str, level: str, node_id: str, most_levels: int = 12, exact: bool = False) -> DataFrame:
-    """parent: the last node before a row that is shallower (with `exact`, exactly one level up and not cut off by a shallower one)."""
+    Nodes without level have none, nor are they one. However many levels there are, none is left out.
+    """
+    levels = _levels(nodes, level)
+    if not levels:
+        return _by_stack(nodes.withColumn("_as_text", F.col(node_id).cast("string")), group, order, level, "_as_text", ahead=False, exact=exact).drop("_as_text")
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     chosen = F.lit(None).cast("string")
-    for n in range(1, most_levels + 1):
-        last = F.last(F.when(F.col(level) < n, F.struct(F.col(node_id).alias("id"), F.col(level).alias("level"))), ignorenulls=True).over(before)
+    for n in levels:
+        last = F.last(F.when(F.col(level) < n, F.struct(F.col(node_id).cast("string").alias("id"), F.col(level).alias("level"))), ignorenulls=True).over(before)
         chosen = F.when(F.col(level) == n, F.when(last["level"] == n - 1, last["id"]) if exact else last["id"]).otherwise(chosen)
     return nodes.withColumn("parent", chosen)
 
@@ -95,7 +138,8 @@ def nearest_label(points: DataFrame, labels: DataFrame, on: Sequence[str], at: s
     mark = F.when(F.col("_l").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_l").alias("l")))
     order = [F.col("_at"), F.col("_l").isNull()]
     behind = F.last(mark, ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(mark, ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    back = [c.desc() for c in order]  # the same order from its end, so that each row is added once
+    ahead = F.last(mark, ignorenulls=True).over(Window.partitionBy(*on).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumns({"_b": behind, "_a": ahead}).filter(F.col("_p").isNotNull())
     nearer = F.col("_b.at").isNull() | (F.col("_a.at") - F.col("_at") < F.col("_at") - F.col("_b.at"))
     return out.select("_p.*", F.when(nearer & F.col("_a.at").isNotNull(), F.col("_a.l")).otherwise(F.col("_b.l")).alias("nearest"))

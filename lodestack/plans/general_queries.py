@@ -124,12 +124,18 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("likely_low", 9).alias("likely_low"), F.round("likely_high", 9).alias("likely_high"))
 
 
+def p1_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the likeliest course of units of a series (record kind and metric, by time) goes from one unit to another."""
+    return unit_states.decode_units(quantities(spark, sf_dir)).filter("unit_before <> likely_unit").select(
+        "record_kind", F.col("record_id").alias("knowledge_item_id"), "metric_id", "ts", F.col("unit_before").alias("from_unit"), F.col("likely_unit").alias("to_unit"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_values(spark, sf_dir).filter("unit_id <> common_unit").select("record_kind", "knowledge_item_id").distinct()
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_values": p1_values,
+    "p1_found": p1_found, "p1_values": p1_values, "p1_switches": p1_switches,
     "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants,
     "p5_found": p5_found, "p5_differences": p5_differences,
 }
@@ -142,7 +148,13 @@ down(tree, id, root_id, depth, codes, ids) AS (SELECT tree, id, id, 0, [code], [
   SELECT c.tree, c.id, d.root_id, d.depth + 1, list_append(d.codes, c.code), list_append(d.ids, c.id) FROM n c JOIN down d ON c.tree = d.tree AND c.parent_id = d.id) """
 
 
-def _diff_sql(columns: bool) -> str:
+def _texts_of(column: str) -> str:
+    """Both values as text; points in time without their zone."""
+    one = "CAST(({0}.{1} AT TIME ZONE 'UTC') AS VARCHAR)" if column.endswith("_at") else "CAST({0}.{1} AS VARCHAR)"
+    return ", " + one.format("a", column) + " AS primary_value, " + one.format("b", column) + " AS replica_value"
+
+
+def _diff_sql(columns: bool, values: bool = False) -> str:
     """For each table a full join on one row per id; the columns are those of the tables' definition."""
     fields = {
         "source_document": "slug title doc_kind series_ref revision issue_date content_status sha256 size_bytes page_count is_spread_paginated supersedes_id is_current ingested_at",
@@ -152,7 +164,7 @@ def _diff_sql(columns: bool) -> str:
     for t, names in fields.items():
         pair = f"(SELECT DISTINCT ON (id) * FROM {t}) a {{}} JOIN (SELECT DISTINCT ON (id) * FROM {t}_replica) b ON a.id = b.id"
         if columns:
-            out += [f"SELECT '{t}' AS table_name, a.id AS record_id, '{c}' AS finding FROM {pair.format('')} WHERE a.{c} IS DISTINCT FROM b.{c}" for c in names.split()]
+            out += [f"SELECT '{t}' AS table_name, a.id AS record_id, '{c}' AS finding{_texts_of(c) if values else ''} FROM {pair.format('')} WHERE a.{c} IS DISTINCT FROM b.{c}" for c in names.split()]
         else:
             out.append(f"SELECT '{t}' AS table_name, coalesce(a.id, b.id) AS record_id, CASE WHEN b.id IS NULL THEN 'only_in_primary' ELSE 'only_in_replica' END AS finding "
                        f"FROM {pair.format('FULL')} WHERE a.id IS NULL OR b.id IS NULL")
@@ -164,5 +176,11 @@ ORACLES: dict[str, str] = {
 UNION ALL SELECT d.tree, d.id, 'stale_path' FROM down d JOIN taxonomy_term t ON d.tree = 'taxonomy_term' AND t.id = d.id ANTI JOIN missing m ON m.tree = d.tree AND m.id = d.root_id
 WHERE t.path IS NOT NULL AND t.path <> array_to_string(d.codes, '.')""",
     "p3_descendants": _FOREST_SQL + "SELECT tree, ids[i] AS ancestor_id, id AS node_id, depth + 1 - i AS distance FROM (SELECT *, unnest(generate_series(1, depth)) AS i FROM down)",
+    "p3_paths": _FOREST_SQL + """, below_each AS (SELECT tree, ids[i] AS id, count(*) AS n, max(depth + 1 - i) AS height FROM (SELECT *, unnest(generate_series(1, depth)) AS i FROM down) GROUP BY 1, 2)
+SELECT n.tree, n.id AS node_id, n.parent_id, d.root_id, d.depth, array_to_string(d.ids, '/') AS id_path, array_to_string(list_transform(d.codes, lambda x: coalesce(x, '')), '.') AS code_path,
+CASE WHEN l.id IS NOT NULL THEN 'on_loop' WHEN d.id IS NULL THEN 'below_loop' WHEN m.id = n.id THEN 'missing_parent' WHEN m.id IS NOT NULL THEN 'detached' ELSE 'ok' END AS status,
+coalesce(e.n, 0) AS n_descendants, coalesce(e.height, 0) AS height FROM n LEFT JOIN down d ON d.tree = n.tree AND d.id = n.id LEFT JOIN missing m ON m.tree = d.tree AND m.id = d.root_id
+LEFT JOIN looped l ON l.tree = n.tree AND l.id = n.id LEFT JOIN below_each e ON e.tree = n.tree AND e.id = n.id""",
     "p5_found": _diff_sql(True) + " UNION ALL " + _diff_sql(False),
+    "p5_differences": _diff_sql(True, True),
 }

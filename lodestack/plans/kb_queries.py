@@ -475,7 +475,7 @@ def page_ends(spark, sf):
     level = F.when(F.col("node_kind") == "volume", 0).when(F.col("node_kind") == "chapter", 1).when(F.col("node_kind") == "section", 2).otherwise(3)
     w = Window.partitionBy("document_id").orderBy(F.col("page_from").asc_nulls_last(), "ordinal", "id")
     n = _t(spark, sf)("doc_node").withColumns({"level": level, "seq": F.row_number().over(w)})
-    return structure.page_ends(n, "document_id", "seq", "level", "page_from", 3).select("id", "page_from", "page_end")
+    return structure.page_ends(n, "document_id", "seq", "level", "page_from").select("id", "page_from", "page_end")
 
 
 @query("""SELECT id, document_id, last_value(CASE WHEN node_kind IN ('volume', 'chapter') THEN code END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal, id
@@ -489,10 +489,8 @@ def forward_fill(spark, sf):
 SELECT event_id, user_id, CAST(sum(jump) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS cluster FROM j""")
 def gap_clusters(spark, sf):
     """Runs of a user's events no more than half an hour apart."""
-    e = _t(spark, sf)("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) * F.lit(1).cast("long"))
-    w = Window.partitionBy("user_id").orderBy("at", "event_id")
-    jump = F.coalesce((F.col("at") - F.lag("at").over(w) > 1_800_000_000).cast("int"), F.lit(0))
-    return e.withColumn("jump", jump).select("event_id", "user_id", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("cluster"))
+    e = _t(spark, sf)("events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return structure.gap_clusters(e, ["user_id"], ["at", "event_id"], 1_800_000_000).select("event_id", "user_id", "cluster")
 
 
 _LEVELS = """WITH n AS (SELECT id, document_id, CASE node_kind WHEN 'volume' THEN 0 WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 ELSE 3 END AS level,
@@ -504,7 +502,7 @@ def parents_by_level(spark, sf):
     level = F.when(F.col("node_kind") == "volume", 0).when(F.col("node_kind") == "chapter", 1).when(F.col("node_kind") == "section", 2).otherwise(3)
     w = Window.partitionBy("document_id").orderBy(F.col("page_from").asc_nulls_last(), "ordinal", "id")
     n = _t(spark, sf)("doc_node").withColumns({"level": level, "seq": F.row_number().over(w)})
-    return structure.parents_by_level(n, "document_id", "seq", "level", "id", 3).select("id", "parent")
+    return structure.parents_by_level(n, "document_id", "seq", "level", "id").select("id", "parent")
 
 
 @query("""SELECT document_id, content_status, weight FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY weight DESC, content_status NULLS FIRST) AS rn FROM

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def test_cascade_and_fusion(spark):
 
 def test_structure(spark):
     nodes = spark.createDataFrame([("d", 1, 0, 1), ("d", 2, 1, 2), ("d", 3, 1, 5), ("d", 4, 0, 9)], "doc string, seq int, level int, page int")
-    assert [r.page_end for r in structure.page_ends(nodes, "doc", "seq", "level", "page", 3).orderBy("seq").collect()] == [8, 4, 8, None]
+    assert [r.page_end for r in structure.page_ends(nodes, "doc", "seq", "level", "page").orderBy("seq").collect()] == [8, 4, 8, None]
     rows = spark.createDataFrame([("g", 1, "a"), ("g", 2, None), ("g", 3, "stop"), ("g", 4, None), ("g", 5, "b")], "g string, o int, v string")
     got = structure.forward_fill(rows, ["g"], ["o"], "v", F.col("v") == "stop").orderBy("o").collect()
     assert [r.filled for r in got] == ["a", "a", None, None, "b"]
@@ -94,6 +95,62 @@ def test_structure(spark):
     assert [r.cluster for r in structure.gap_clusters(gaps, ["g"], "x", 1.0).orderBy("x").collect()] == [0, 0, 1, 1, 2]
 
 
+def test_levels_and_depths_have_no_cap(spark):
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(71)], "id string, parent_id string")
+    assert structure.recursive_depths(chain).agg(F.max("depth")).first()[0] == 70
+    rng = random.Random(2)
+    for most in (13, 60):  # windows, then a stack
+        rows, level = [], 0
+        for i in range(300):
+            level = rng.randint(0, min(level + 1, most)) if i % 5 else min(level + 1, most)
+            rows.append(("d", i, level if i < 290 else i - 290 + most - 9, i * 2, str(i)))
+        rows.append(("d", 300, None, 600, "none"))
+        df = spark.createDataFrame(rows, "doc string, seq int, level int, page int, id string")
+        got = {r.seq: r.page_end for r in structure.page_ends(df, "doc", "seq", "level", "page").collect()}
+        up = {r.seq: r.parent for r in structure.parents_by_level(df, "doc", "seq", "level", "id").collect()}
+        one = {r.seq: r.parent for r in structure.parents_by_level(df, "doc", "seq", "level", "id", exact=True).collect()}
+        for i, (_, _, lv, page, _) in enumerate(rows[:-1]):
+            after = next((r[3] for r in rows[i + 1 : 300] if r[2] <= lv), None)
+            above = next((r for r in reversed(rows[:i]) if r[2] < lv), None)
+            assert got[i] == (None if after is None else max(after - 1, page))
+            assert up[i] == (above and above[4]) and one[i] == (above[4] if above and above[2] == lv - 1 else None)
+        assert got[300] is None and up[300] is None
+
+
+def test_references_meet_by_their_rarest_words(spark):
+    rng = random.Random(1)
+    words = ["the", "of"] + [f"w{i}" for i in range(60)]
+    titles = [(f"d{i:03d}", " ".join(["the"] + rng.sample(words, 4))) for i in range(80)] + [("d900", None), ("d901", "the")]
+    refs = [(f"r{i}", " ".join(rng.sample(words, rng.randint(1, 6)) + ["the"])) for i in range(150)] + [("n", None), ("e", "")]
+    got = {r.ref_id: (r.document_id, r.overlap) for r in enrich.resolve_references(
+        spark.createDataFrame(refs, "ref_id string, raw_text string"), spark.createDataFrame(titles, "document_id string, title string")).collect()}
+    want = {}
+    for rid, raw in refs:
+        w = set((raw or "").split())
+        best = min(((-round(len(w & set((t or "").split())) / len(w), 6), d) for d, t in titles), default=None) if len(w) > 1 else None
+        if best and -best[0] >= 0.6:
+            want[rid] = (best[1], -best[0])
+    assert got == want and want
+
+
+def test_reference_states_tags_and_stages(spark):
+    refs = spark.createDataFrame([("1", "page", "(Module 2 Chapter 4)"), ("2", "page", "see overleaf"), ("3", "sibling_doc", "Companion volume"), ("4", "page", "quiet rooms guide"), ("5", None, None)],
+                                 "ref_id string, ref_kind string, raw_text string")
+    docs = spark.createDataFrame([("d", "Quiet rooms: a guide")], "document_id string, title string")
+    assert {r.ref_id: r.resolution for r in enrich.reference_states(refs, docs).collect()} == {"1": "missing_source", "2": "unresolved", "3": "missing_source", "4": "resolved", "5": "unresolved"}
+    items = spark.createDataFrame([("i", "A-3.1"), ("j", "A-9"), ("k", None), ("l", "Z")], "id string, code string")
+    terms = spark.createDataFrame([("A", "t1"), ("A-3", "t2")], "code string, term_id string")
+    assert {(r.item_id, r.term_id) for r in enrich.prefix_tags(items, "id", "code", terms).collect()} == {("i", "t2"), ("j", "t1")}
+    words = spark.createDataFrame([("i", "t1", 0.5), ("i", "x", 0.5), ("j", "x", 0.5)], "item_id string, term_id string, confidence double")
+    paths = spark.createDataFrame([("t1", "a"), ("t2", "a.b"), ("x", "c")], "term_id string, path string")
+    firm = spark.createDataFrame([("i", "t2")], "item_id string, term_id string")
+    assert {(r.item_id, r.term_id) for r in enrich.same_branch(words, firm, paths).collect()} == {("i", "t1"), ("j", "x")}
+    named = spark.createDataFrame([("i", "s1", 0.9), ("i", "s1", 0.5), ("i", "gone", 0.9), ("j", "s2", 0.5)], "item_id string, stage_id string, confidence double")
+    cross = spark.createDataFrame([("s1", "s2"), ("s2", "s3")], "stage_id string, equal_id string")
+    known = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "stage_id string")
+    assert {(r.item_id, r.stage_id, r.confidence) for r in enrich.link_stages(named, cross, known).collect()} == {("i", "s1", 0.9), ("i", "s2", 0.9), ("j", "s2", 0.5), ("j", "s3", 0.5)}
+
+
 def test_merge(spark):
     old = spark.createDataFrame([("1", "Title", "u"), ("2", "Two", None), (None, "N", None)], "id string, title string, x string")
     new = spark.createDataFrame([("1", "1", "v"), ("3", "Three", None), ("2", None, "w"), (None, None, "z")], "id string, title string, x string")
