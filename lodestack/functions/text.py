@@ -89,3 +89,18 @@ def code_prefixes(code: Column) -> Column:
     """A code and what is left as its last level is cut again and again: a-3.1, a-3, a."""
     parts = F.regexp_extract_all(code, F.lit(r"[.-]?[^.-]+"), F.lit(0))
     return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(parts, 1, i), ""))
+
+
+def title_of_slug(slug: Column) -> Column:
+    """A slug in words, its first letter a capital."""
+    h = humanise(slug)
+    return F.concat(F.upper(F.substring(h, 1, 1)), F.substring(h, F.lit(2), F.length(h)))
+
+
+def without_nul(text: Column) -> Column:
+    return F.replace(text, F.lit("\x00"), F.lit(""))
+
+
+def date_of_serial(days: Column) -> Column:
+    """A spreadsheet's day number as a date: day 1 is the last of 1899."""
+    return F.date_add(F.lit("1899-12-30").cast("date"), days.cast("int"))

@@ -73,3 +73,12 @@ def table_order(references: dict[str, set[str]]) -> list[str]:
         for t in ready:
             del left[t]
     return out
+
+
+def manifest_drift(manifest: DataFrame, present: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, state): `missing` and `unlisted` on one side only, `changed` where the digests differ, else `same`; one shuffle of both."""
+    both = manifest.select(key, F.lit(1).alias("side"), digest).unionByName(present.select(key, F.lit(2).alias("side"), digest))
+    g = both.groupBy(key).agg(
+        F.min("side").alias("lo"), F.max("side").alias("hi"), F.min(F.when(F.col("side") == 1, F.struct(digest))).alias("a"), F.min(F.when(F.col("side") == 2, F.struct(digest))).alias("b"))
+    state = F.when(F.col("hi") == 1, "missing").when(F.col("lo") == 2, "unlisted").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
+    return g.select(key, state.alias("state"))

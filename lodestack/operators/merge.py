@@ -103,3 +103,24 @@ def either_key(left: DataFrame, right: DataFrame, first: str, second: str, key:
     """Rows of `left` that either of two columns of `right` names: the disjunction as a union of keys and one semi join."""
     keys = right.select(F.col(first).alias(key)).unionByName(right.select(F.col(second).alias(key))).filter(F.col(key).isNotNull()).distinct()
     return left.join(keys, key, "left_semi")
+
+
+def decide(items: DataFrame, decisions: DataFrame, at: Column, row_id: str = "id") -> DataFrame:
+    """Items with review_status and reviewed_at set by `decisions` (row_id, decision); only pending items are decided on, each by its least decision."""
+    d = decisions.groupBy(row_id).agg(F.min("decision").alias("_decision"))
+    now = (F.col("review_status") == "pending") & F.col("_decision").isNotNull()
+    return items.join(d, row_id, "left").withColumns({
+        "reviewed_at": F.when(now, at).otherwise(F.col("reviewed_at")), "review_status": F.when(now, F.col("_decision")).otherwise(F.col("review_status"))}).select(items.columns)
+
+
+def beyond_newest(rows: DataFrame, key: Sequence[str], order: Sequence[str], keep: int) -> DataFrame:
+    """Rows of each key beyond its `keep` newest, to be pruned."""
+    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") > keep).drop("_place")
+
+
+def clear_orphans(child: DataFrame, parent: DataFrame, foreign: str, parent_key: str = "id") -> DataFrame:
+    """Deleting with SET NULL: references whose row is gone become null."""
+    there = parent.select(F.col(parent_key).alias(foreign), F.lit(True).alias("_there")).distinct()
+    linked = child.filter(F.col(foreign).isNotNull()).join(there, foreign, "left").withColumn(foreign, F.when(F.col("_there"), F.col(foreign)))
+    return linked.select(child.columns).unionByName(child.filter(F.col(foreign).isNull()))

@@ -148,3 +148,40 @@ def nearest_label(points: DataFrame, labels: DataFrame, on: Sequence[str], at: s
 def unreached(nodes: DataFrame, tree: Column, node_id: str = "id", parent_id: str = "parent_id") -> DataFrame:
     """Nodes that no walk from a root reaches: on, below or behind something broken."""
     return resolve_hierarchy(nodes, tree, node_id, parent_id).filter("status <> 'ok'").select("tree", "node_id", "status")
+
+
+def matrix(rows: DataFrame, cells: DataFrame, key: str, level: str, levels: Sequence[str], item: str) -> DataFrame:
+    """`rows` with a column per level and `unassigned`, each an array of items in order, empty where there are none.
+
+    Items of no level, or of one that isn't among `levels`, are unassigned; items of unknown keys are left out.
+    """
+    at = F.when(F.col(level).isin(list(levels)), F.col(level))
+    put = lambda cond, name: F.array_sort(F.array_compact(F.collect_list(F.when(cond, F.col(item))))).alias(name)
+    grid = cells.withColumn("_at", at).groupBy(key).agg(*[put(F.col("_at") == v, v) for v in levels], put(F.col("_at").isNull(), "unassigned"))
+    empty = F.array().cast("array<string>")
+    return rows.join(grid, key, "left").select(*rows.columns, *[F.coalesce(c, empty).alias(c) for c in (*levels, "unassigned")])
+
+
+def box_area(box: Column) -> Column:
+    """The area of a box [x0, y0, x1, y1]; null for any other array."""
+    wide, high = F.get(box, F.lit(2)) - F.get(box, F.lit(0)), F.get(box, F.lit(3)) - F.get(box, F.lit(1))
+    return F.when((F.size(box) == 4) & (wide >= 0) & (high >= 0), wide * high)
+
+
+def box_at_least(box: Column, side: float) -> Column:
+    """Whether a box is as wide and as high as `side`; false for none."""
+    wide, high = F.get(box, F.lit(2)) - F.get(box, F.lit(0)), F.get(box, F.lit(3)) - F.get(box, F.lit(1))
+    return F.coalesce((F.size(box) == 4) & (wide >= side) & (high >= side), F.lit(False))
+
+
+def clamp(asked: int | None, default: int, most: int) -> int:
+    """A limit a caller may ask for: the default for none or less than 1, never over `most`."""
+    return min(asked, most) if asked and asked > 0 else min(default, most)
+
+
+def project(df: DataFrame, names: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    """The named columns, of those that are allowed; another is an error."""
+    wrong = [n for n in names if n not in allowed]
+    if wrong:
+        raise ValueError(f"columns that may not be read: {wrong}")
+    return df.select(*names)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.plans import general_queries, kb_queries, store_queries
+from lodestack.plans import general_queries, kb_queries, more_queries, store_queries
 
-_MODULES = [general_queries, kb_queries, store_queries]
+_MODULES = [general_queries, kb_queries, more_queries, store_queries]
 flagship = kb_queries.flagship
 
 

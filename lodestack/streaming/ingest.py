@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 IN_PROGRESS = (".part", ".tmp", ".crdownload", ".download", ".filepart")
 MAX_ATTEMPTS = 3
+RUN_LOG = "job_id string, stage string, result string, attempts int, ms long, message string"
 
 
 def eligible_name(path):
@@ -37,9 +39,20 @@ def stable(samples: DataFrame, now, seconds: int = 5) -> DataFrame:
     return since.filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("since") >= seconds * 1_000_000).select("path", "size")
 
 
-def once_by_content(stream: DataFrame, key: str = "sha256") -> DataFrame:
-    """Every content once, however often and under whatever name it comes."""
-    return stream.dropDuplicates([key])
+def once_by_content(stream: DataFrame, key: str = "sha256", ts: str | None = None, within: str | None = None) -> DataFrame:
+    """Every content once, however often and under whatever name it comes.
+
+    With a time column and a span, contents are remembered for the span only and the state stays bounded; `new_contents`
+    in the sink then keeps out what comes again later. Without them every content is remembered.
+    """
+    if ts is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(ts, within or "7 days").dropDuplicatesWithinWatermark([key])
+
+
+def new_contents(batch: DataFrame, taken: DataFrame, key: str = "sha256") -> DataFrame:
+    """Rows of a batch whose content the sink doesn't hold yet, each content once: nothing needs to be remembered by the stream."""
+    return batch.dropDuplicates([key]).join(taken.select(key), key, "left_anti").select(batch.columns)
 
 
 def with_late_windows(stream: DataFrame, ts: str, width: str, lateness: str, keys: Sequence[str]) -> DataFrame:
@@ -71,16 +84,28 @@ def fold_jobs(events: DataFrame, job: str, stage: str, ts: str, order: str, fail
             F.col("last_stage") == failed, "retry").otherwise("ok"))
 
 
-def run_stage(log: DataFrame, job_id: str, stage: str, fn: Callable[[], DataFrame]) -> tuple[DataFrame | None, str]:
-    """(result, outcome): a stage that the log says is ok isn't run again; else it is run and its outcome told."""
-    if not log.filter((F.col("job_id") == job_id) & (F.col("stage") == stage) & (F.col("result") == "ok")).isEmpty():
-        return None, "ok"
+def run_stage(log: DataFrame, job_id: str, stage: str, fn: Callable[[], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
+    """(result, log with this run): a stage that the log says is ok isn't run again.
+
+    The log has job_id, stage, result, attempts, ms, message; a run replaces the stage's entry. A failure adds an attempt and
+    leaves its message; a stage that failed MAX_ATTEMPTS times is `failed`, before that `retry`. A stage that isn't built is `skipped`.
+    """
+    mine = (F.col("job_id") == job_id) & (F.col("stage") == stage)
+    past = log.filter(mine).orderBy(F.desc("attempts")).select("result", "attempts").first()
+    if past and past.result in ("ok", "failed"):
+        return None, log
+    out, outcome, message, began = None, "ok", None, time.monotonic()
+    attempts = past.attempts if past else 0
     try:
-        return fn(), "ok"
-    except NotImplementedError:
-        return None, "skipped"
-    except Exception:
-        return None, "failed"
+        out = fn()
+    except NotImplementedError as e:
+        outcome, message = "skipped", str(e)
+    except Exception as e:  # noqa: BLE001 - whatever a stage raises is its outcome, kept in the log
+        attempts += 1
+        outcome, message = ("failed" if attempts >= MAX_ATTEMPTS else "retry"), f"{type(e).__name__}: {e}"
+    row = [(job_id, stage, outcome, attempts, int(1000 * (time.monotonic() - began)), message)]
+    entry = log.sparkSession.createDataFrame(row, RUN_LOG)
+    return out, log.filter(~F.coalesce(mine, F.lit(False))).unionByName(entry)
 
 
 class Stages:

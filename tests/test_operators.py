@@ -151,6 +151,25 @@ def test_reference_states_tags_and_stages(spark):
     assert {(r.item_id, r.stage_id, r.confidence) for r in enrich.link_stages(named, cross, known).collect()} == {("i", "s1", 0.9), ("i", "s2", 0.9), ("j", "s2", 0.5), ("j", "s3", 0.5)}
 
 
+def test_grid_boxes_and_limits(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "k string")
+    cells = spark.createDataFrame([("a", "x", "2"), ("a", "x", "1"), ("a", None, "3"), ("a", "odd", "4"), ("gone", "x", "5")], "k string, level string, item string")
+    got = {r.k: (r.x, r.y, r.unassigned) for r in structure.matrix(rows, cells, "k", "level", ["x", "y"], "item").collect()}
+    assert got == {"a": (["1", "2"], [], ["3", "4"]), "b": ([], [], [])}
+    boxes = spark.createDataFrame([([0.0, 0.0, 4.0, 5.0],), ([0.0],), (None,), ([4.0, 0.0, 1.0, 1.0],)], "b array<double>")
+    assert [(r.a, r.l) for r in boxes.select(structure.box_area(F.col("b")).alias("a"), structure.box_at_least(F.col("b"), 4.0).alias("l")).collect()] == [(20.0, True), (None, False), (None, False), (None, False)]
+    assert [structure.clamp(x, 20, 100) for x in (None, 0, -1, 5, 500)] == [20, 20, 20, 5, 100]
+    assert structure.project(rows, ["k"], ["k", "z"]).columns == ["k"]
+    with pytest.raises(ValueError):
+        structure.project(rows, ["z"], ["k"])
+
+
+def test_once_and_new_contents(spark):
+    batch = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "3")], "path string, sha256 string")
+    taken = spark.createDataFrame([("2",)], "sha256 string")
+    assert sorted(r.sha256 for r in ingest.new_contents(batch, taken).collect()) == ["1", "3"]
+
+
 def test_merge(spark):
     old = spark.createDataFrame([("1", "Title", "u"), ("2", "Two", None), (None, "N", None)], "id string, title string, x string")
     new = spark.createDataFrame([("1", "1", "v"), ("3", "Three", None), ("2", None, "w"), (None, None, "z")], "id string, title string, x string")
@@ -210,8 +229,14 @@ def test_stages(spark):
         s.run(spark.range(1))
     s.runs("two")(lambda d: d.withColumn("b", F.col("a") + 1))
     assert s.run(spark.range(1)).first().b == 2
-    log = spark.createDataFrame([("j", "one", "ok")], "job_id string, stage string, result string")
-    assert ingest.run_stage(log, "j", "one", lambda: 1 / 0) == (None, "ok") and ingest.run_stage(log, "j", "two", lambda: 1 / 0)[1] == "failed"
+    log = spark.createDataFrame([("j", "one", "ok", 0, 5, None)], ingest.RUN_LOG)
+    assert ingest.run_stage(log, "j", "one", lambda: 1 / 0)[0] is None
+    for attempt, state in ((1, "retry"), (2, "retry"), (3, "failed"), (3, "failed")):
+        out, log = ingest.run_stage(log, "j", "two", lambda: 1 / 0)
+        row = log.filter("stage = 'two'").collect()
+        assert out is None and [(r.result, r.attempts) for r in row] == [(state, attempt)] and "ZeroDivisionError" in row[0].message
+    out, log = ingest.run_stage(log, "k", "two", lambda: "made")
+    assert out == "made" and log.filter("job_id = 'k'").first().result == "ok" and log.filter("stage = 'one'").count() == 1
 
 
 def test_stability(spark):
