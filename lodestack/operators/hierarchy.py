@@ -64,14 +64,13 @@ def resolve_hierarchy(
     )
     base = stored(base.withColumn("n", F.monotonically_increasing_id()))
     n_all = base.count()
-    links = base.filter("parent is not null").select("tree", "parent", "n")
-    ups = stored(_lookup(links, base.select("tree", F.col("id").alias("parent"), F.col("n").alias("up")), ["tree", "parent"], hot_rows, n_all).select("n", "up"))
-    inner = ups.filter("up is not null").select(F.col("up").alias("n")).distinct().withColumn("inner", F.lit(True))
-    # up: the parent's number; linked without up: the parent is missing
-    every = stored(
-        base.join(ups.withColumn("linked", F.lit(True)), "n", "left").join(inner, "n", "left").select(
-            "n", "tree", "id", "parent", "label", "up", F.coalesce("inner", F.lit(False)).alias("inner"),
-            (F.col("linked").isNotNull() & F.col("up").isNull()).alias("missing")))
+    ids = base.select("tree", F.col("id").alias("parent"), F.col("n").alias("up"))
+    linked = _lookup(base.filter("parent is not null"), ids, ["tree", "parent"], hot_rows, n_all).withColumn("missing", F.col("up").isNull())
+    tops = base.filter("parent is null").withColumns({"up": F.lit(None).cast("long"), "missing": F.lit(False)})
+    # up: the parent's number
+    linked = stored(linked.unionByName(tops))
+    inner = linked.filter("up is not null").select(F.col("up").alias("n")).distinct().withColumn("inner", F.lit(True))
+    every = stored(linked.join(inner, "n", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
     head = F.when(F.col("up").isNull(), F.col("id"))
     state = every.filter("inner").select(
         "n", F.col("up").alias("ptr"), F.array("id").alias("id_path"), F.array("label").alias("label_path"), head.alias("root_id"), F.col("missing").alias("head_missing"))
