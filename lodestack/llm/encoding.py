@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.sources.tables import cut
+from lodestack.sources.tables import stored
 
 #: read as -> really; None in the third place: once, else the whole is undone so many times
 CHAINS = [
@@ -29,7 +29,9 @@ CHAINS = [
     ("latin-1", "cp850", 1), ("latin-1", "mac_roman", 1),
 ]
 LOST = len(CHAINS)  # the chain whose bytes are gone: replacement characters
-POOLS, BUCKETS, ROUNDS = 1024, 1 << 18, 4
+POOLS, BUCKETS = 1024, 1 << 18
+#: rounds go on until no chain's share of all words moves by more than SETTLED of itself (of one in a thousand, if it is rarer)
+ROUNDS, SETTLED = 10, 0.05
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 _SMOOTH, _BACK_OFF, _FLAG = 0.02, 2.0, 0.5
 
@@ -232,8 +234,8 @@ def _expect(words: DataFrame, model: _Model | None) -> DataFrame:
 
 
 def fit(words: DataFrame, rounds: int = ROUNDS) -> _Model:
-    """EM over the counted words. What reaches the driver is bounded: two tables of BUCKETS numbers, POOLS x chains shares."""
-    model = None
+    """EM over the counted words, until it settles. Sources share POOLS classes of shares by a hash, each half those of all. What reaches the driver is bounded: two tables of BUCKETS numbers, POOLS x chains shares."""
+    model, before = None, None
     for _ in range(rounds):
         got = _expect(words, model).toPandas()
         tri, ctx = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
@@ -251,6 +253,9 @@ def fit(words: DataFrame, rounds: int = ROUNDS) -> _Model:
             # half its own shares, half those of all sources: a chain rare everywhere isn't ruled out in a large source
             prior[int(pool)] = np.maximum(0.5 * v / v.sum() + 0.5 * total, 1e-7)
         model = _Model(tri, ctx, prior, np.maximum(total, 1e-7))
+        if before is not None and (np.abs(total - before) <= SETTLED * np.maximum(before, 1e-3)).all():
+            break
+        before = total
     return model
 
 
@@ -282,7 +287,7 @@ def repair_text(text: str, model: _Model, pool: int) -> tuple[str, int, int, str
         bad += n[w]
         lost += n[w] * (not whole)
         chains[k] += n[w]
-        fixed[w] = x if whole else _partly(w, x)
+        fixed[w] = x  # where bytes are missing it holds a mark
     if not bad:
         return None
     k = chains.most_common(1)[0][0]
@@ -290,11 +295,6 @@ def repair_text(text: str, model: _Model, pool: int) -> tuple[str, int, int, str
     return _WORD.sub(lambda m: fixed.get(m.group(), m.group()), text), bad, lost, name
 
 
-def _partly(word: str, got: str) -> str:
-    """A word of which bytes are missing keeps a mark where they stood."""
-    return got if got != word else word
-
-
 def repair_encoding(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per garbled record: doc_id, restored_text, n_garbled, n_lost, chain.
 
@@ -307,7 +307,7 @@ def repair_encoding(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _pool(F.col(source)).alias("pool")).filter(
         F.col("text").rlike(r"[^\x00-\x7F]"))
-    model = fit(cut(_count_words(rows.select("pool", "text"))))
+    model = fit(stored(_count_words(rows.select("pool", "text"))))
     model.cache = {}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -39,11 +39,11 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", mixing.source_key(F.col("source")).alias("source"), "lang", mixing.topic_of(F.col("text")).alias("topic"), "text")
+        "doc_id", mixing.source_key(F.col("source")).alias("source"), "lang", "text")
     targets = table(spark, sf_dir, "mix_target")
     wanted = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")  # 13 rows, fixed
     counted = mixing.count_tokens(
-        wanted, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN, ["doc_id", "source", "lang", "topic"])
+        wanted, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN, ["doc_id", "source", "lang"], mixing.fit_topics(wanted, "text"))
     return mixing.mix_sources(counted, targets)
 
 
@@ -56,7 +56,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_roundtrip": p6_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p8_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: whether its share is within a hundredth of its target among the sources that have documents, and its repeats within the cap."""
+    shares = p8_shares(spark, sf_dir)
+    whole = shares.filter("tokens > 0").agg(F.sum("target_share").alias("whole"))
+    near = F.abs(F.col("share") - F.when(F.col("tokens") > 0, F.col("target_share") / F.col("whole")).otherwise(0.0)) <= 0.01
+    return shares.crossJoin(F.broadcast(whole)).select("source", near.alias("on_target"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"))  # one row
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_roundtrip": p6_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_reached": p8_reached}
 ORACLES: dict[str, str] = {
     # a word of n characters has ceil(n / 3) matches of up to three; the rest are single visible characters
     "p6_found": r"SELECT DISTINCT id AS chunk_id FROM chunk WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]{1,3}|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]')) > 420",
@@ -64,6 +72,9 @@ ORACLES: dict[str, str] = {
 ORACLES["p6_roundtrip"] = ORACLES["p6_found"].replace("chunk_id FROM", "chunk_id, true AS within_limit, true AS gives_the_text, true AS shares_a_stretch, true AS pages_in_order FROM")
 
 
+ORACLES["p8_reached"] = "SELECT source, true AS on_target, true AS within_cap FROM mix_target"
+
+
 def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm import encoding
 

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -47,3 +48,18 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN, ["doc_id"]).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_topics_follow_the_words(spark):
+    """Three vocabularies: texts of one fall together; texts without words have no topic; the fit doesn't depend on partitions."""
+    import random
+
+    rng = random.Random(2)
+    vocab = [[f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(60)] for a in ("alpha", "beta", "gamma")]
+    rows = [(i, " ".join(rng.choice(vocab[i % 3]) for _ in range(40))) for i in range(300)] + [(300, ""), (301, None), (302, "12 34")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    topics = mixing.fit_topics(df, "text", n=3)
+    assert np.array_equal(topics, mixing.fit_topics(df.repartition(7), "text", n=3))
+    got = mixing.topic_of([x for _, x in rows], topics)
+    assert all(len(set(got[k:300:3])) == 1 for k in range(3)) and len(set(got[:300])) == 3 and set(got[300:]) == {-1}
+    assert set(mixing.topic_of(["any words here"], mixing.fit_topics(df.limit(0), "text"))) <= {0}
