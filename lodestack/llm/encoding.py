@@ -30,8 +30,8 @@ CHAINS = [
 ]
 LOST = len(CHAINS)  # the chain whose bytes are gone: replacement characters
 POOLS, BUCKETS = 1024, 1 << 18
-#: rounds go on until no chain's share of all words moves by more than SETTLED of itself (of one in a thousand, if it is rarer)
-ROUNDS, SETTLED = 10, 0.05
+#: rounds end when no chain's share of all words moves by more than SETTLED of itself (of one in a thousand, if it is rarer), and after ROUNDS
+ROUNDS, SETTLED = 5, 0.1
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 _SMOOTH, _BACK_OFF, _FLAG = 0.02, 2.0, 0.5
 
