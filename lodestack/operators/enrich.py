@@ -37,21 +37,26 @@ def resolve_references(refs: DataFrame, documents: DataFrame, least: float = 0.6
     """(ref_id, document_id, overlap): the document whose title shares the largest part of a reference's words, at least `least`.
 
     A reference meets only documents that share one of its rarest words: of n words, need of which must be shared, one of
-    the n - need + 1 rarest is among them. Ties go to the smaller document id; references of fewer than `least_words` words
-    resolve to nothing; words are counted once.
+    the n - need + 1 rarest is among them; they are scored where they meet, so no pair is shuffled, and of a
+    reference only the best leaves a task. References and titles of the same words go as one. Ties go to the smaller document
+    id; references of fewer than `least_words` words resolve to nothing; words are counted once.
     """
-    r = refs.select("ref_id", F.array_distinct(word_tokens(F.col("raw_text"))).alias("w")).filter(F.size("w") >= least_words)
-    d = documents.select("document_id", F.array_distinct(word_tokens(F.col("title"))).alias("dw"))
-    words = d.select("document_id", "dw", F.explode("dw").alias("word"))
+    words_of = lambda c: F.array_join(F.array_sort(F.array_distinct(word_tokens(F.col(c)))), " ")  # noqa: E731 - a text is shuffled for less than an array
+    r = refs.select("ref_id", words_of("raw_text").alias("said"))
+    d = documents.select("document_id", words_of("title").alias("dw")).filter("dw <> ''").groupBy("dw").agg(F.min("document_id").alias("document_id"))
+    words = d.select("document_id", F.split("dw", " ").alias("dw")).select("document_id", "dw", F.explode("dw").alias("word"))
     known = words.groupBy("word").agg(F.count("*").alias("n_titles"))
-    told = r.select("ref_id", "w", F.explode("w").alias("word")).join(known, "word", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n_titles", F.lit(0)).alias("n"), "word")))
-    need = F.ceil(F.size("w") * F.lit(least - 5e-7))
-    rare = told.groupBy("ref_id", "w").agg(order.alias("o")).select("ref_id", "w", F.explode(F.slice("o", F.lit(1), (F.size("w") - need + 1).cast("int"))).alias("x"))
-    pairs = rare.select("ref_id", "w", F.col("x.word").alias("word")).join(words, "word").groupBy("ref_id", "document_id").agg(F.first("w").alias("w"), F.first("dw").alias("dw"))
-    scored = pairs.withColumn("overlap", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6)).filter(F.col("overlap") >= least)
+    asked = r.select("said").distinct().withColumn("w", F.split("said", " ")).filter((F.col("said") != "") & (F.size("w") >= least_words))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n_titles", F.lit(0)).alias("n"), "word"))).alias("o")
+    ranked = asked.select("said", F.explode("w").alias("word")).join(known, "word", "left").groupBy("said").agg(order)
+    need = F.ceil(F.size("w") * F.lit(least - 5e-7)).cast("int")
+    rare = ranked.select("said", F.col("o.word").alias("w")).select("said", "w", F.posexplode(F.slice("w", F.lit(1), F.size("w") - need + 1)).alias("at", "word"))
+    met = rare.join(words, "word").filter(F.size("dw") >= need)
+    met = met.filter(~F.arrays_overlap(F.slice("w", F.lit(1), F.col("at")), "dw"))  # a title with a rarer word of the reference met it there
+    scored = met.select("said", "document_id", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6).alias("overlap")).filter(F.col("overlap") >= least)
     best = F.min(F.struct((-F.col("overlap")).alias("o"), "document_id")).alias("b")
-    return scored.groupBy("ref_id").agg(best).select("ref_id", "b.document_id", (-F.col("b.o")).alias("overlap"))
+    found = r.join(scored.groupBy("said").agg(best), "said").groupBy("ref_id").agg(F.min("b").alias("b"))
+    return found.select("ref_id", "b.document_id", (-F.col("b.o")).alias("overlap"))
 
 
 def reference_states(refs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,20 @@ def test_references_meet_by_their_rarest_words(spark):
     assert got == want and want
 
 
+def _no_pairs_shuffled(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not re.search(r"hashpartitioning\([^)]*document_id", plan) and "hashpartitioning" in plan
+
+
+def test_references_shuffle_no_pairs(spark):
+    """Many copies of a title and of a reference: the least id, for each copy, and pairs of them are never shuffled."""
+    docs = spark.createDataFrame([(f"d{i:03d}", "Quiet rooms guide" if i % 2 else "guide: rooms, quiet QUIET") for i in range(60, 0, -1)] + [("d000", "roof")], "document_id string, title string")
+    refs = spark.createDataFrame([(f"r{i}", "the quiet rooms guide") for i in range(40)] + [("r0", "the roof"), ("x", "roof")], "ref_id string, raw_text string")
+    got = enrich.resolve_references(refs, docs)
+    assert sorted((r.ref_id, r.document_id, r.overlap) for r in got.collect()) == sorted((f"r{i}", "d001", 0.75) for i in range(40))
+    assert _no_pairs_shuffled(got)
+
+
 def test_reference_states_tags_and_stages(spark):
     refs = spark.createDataFrame([("1", "page", "(Module 2 Chapter 4)"), ("2", "page", "see overleaf"), ("3", "sibling_doc", "Companion volume"), ("4", "page", "quiet rooms guide"), ("5", None, None)],
                                  "ref_id string, ref_kind string, raw_text string")
