@@ -148,6 +148,14 @@ def test_references_shuffle_no_pairs(spark):
     assert _no_pairs_shuffled(got)
 
 
+def test_reference_states_shuffle_no_pairs(spark):
+    refs = spark.createDataFrame([(f"r{i}", "page", "quiet rooms guide") for i in range(5)] + [("a", "page", "module 3"), ("b", "other", None)], "ref_id string, ref_kind string, raw_text string")
+    docs = spark.createDataFrame([(f"d{i}", "Quiet rooms: a guide") for i in range(5, 0, -1)], "document_id string, title string")
+    got = enrich.reference_states(refs, docs)
+    assert {(r.ref_id, r.resolution, r.document_id) for r in got.collect()} == {(f"r{i}", "resolved", "d1") for i in range(5)} | {("a", "missing_source", None), ("b", "unresolved", None)}
+    assert _no_pairs_shuffled(got)
+
+
 def test_reference_states_tags_and_stages(spark):
     refs = spark.createDataFrame([("1", "page", "(Module 2 Chapter 4)"), ("2", "page", "see overleaf"), ("3", "sibling_doc", "Companion volume"), ("4", "page", "quiet rooms guide"), ("5", None, None)],
                                  "ref_id string, ref_kind string, raw_text string")
