@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lodestack.sources.tables import stored
 
 BINS = 4096
-#: topics, the dimensions of hashed words, and the documents they are fitted on (a sample by hash)
-TOPICS, TOPIC_DIMS, TOPIC_SAMPLE = 12, 4096, 4_000
+#: topics, the dimensions of hashed words, the tasks of a pass that fits them; sums are of whole parts of one
+TOPICS, TOPIC_DIMS, TOPIC_TASKS, _WHOLE = 12, 4096, 64, float(1 << 26)
 _LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
@@ -66,35 +66,103 @@ def _vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.array(row, np.int64), np.array(at, np.int64), np.array(n)
 
 
+def _weighed(batch: pd.DataFrame, idf: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors with some weight, text number, hashed word, unit weight, first place of each text)."""
+    size = batch["at"].str.len().to_numpy(np.int64) // 2
+    row, at = np.repeat(np.arange(len(batch)), size), np.frombuffer(b"".join(batch["at"]), np.uint16).astype(np.int64)
+    x = (1 + np.log(np.frombuffer(b"".join(batch["n"]), np.int32))) * idf[at]
+    length = np.sqrt(np.bincount(row, x * x, len(batch)))
+    some = length > 0
+    keep = some[row]
+    row, at, x = (np.cumsum(some) - 1)[row[keep]], at[keep], x[keep] / length[row[keep]]
+    return batch[some], row, at, x, np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+
+
 def fit_topics(docs: DataFrame, text: str, doc_id: str = "doc_id", n: int = TOPICS, seed: int = 11) -> np.ndarray:
-    """Topics as directions in word space (words x topics, weighted by rarity): spherical k-means on a bounded sample by hash.
+    """Topics as directions in word space (words x topics, weighted by rarity): spherical k-means over all documents.
 
-    About TOPIC_SAMPLE documents, those of least hash, whatever the size of the corpus; fewer topics where it has fewer texts.
+    Words are hashed once, to a stored table; each first centre (drawn by its distance from those there are, by a hash of its
+    id) and each round is a pass over that table. Sums are of whole numbers, so no order shows; the driver holds words x topics.
+    Fewer topics where there are fewer texts.
     """
-    total = docs.count()
-    share = int(1_000_000 * TOPIC_SAMPLE / max(1, total)) + 1
-    picked = docs.filter(F.pmod(F.xxhash64(doc_id, F.lit("topic")), F.lit(1_000_000)) < share).filter(F.length(text) > 0).select(doc_id, text)
-    sample = picked.orderBy(F.xxhash64(doc_id, F.lit("topic")), doc_id).limit(TOPIC_SAMPLE).toPandas()
-    row, at, value = _vectors(sample[text].tolist())
-    if not len(row):
-        return np.zeros((TOPIC_DIMS, 1), np.float32)
-    idf = np.log((1 + len(sample)) / (1 + np.bincount(at, minlength=TOPIC_DIMS)))
-    x = np.zeros((len(sample), TOPIC_DIMS), np.float32)
-    np.add.at(x, (row, at), value * idf[at])
-    x = x[np.abs(x).sum(1) > 0]
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    if not len(x):
+
+    def hash_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for h, x in zip(pdf["h"], pdf[text]):
+                seen = Counter(_LONG_WORD.findall(x.lower()))
+                if seen:
+                    at = np.array([zlib.crc32(w.encode("utf-8", "replace")) % TOPIC_DIMS for w in seen], np.uint16)
+                    order = np.lexsort((list(seen.values()), at))
+                    out.append((h, at[order].tobytes(), np.array(list(seen.values()), np.int32)[order].tobytes()))
+            yield pd.DataFrame(out, columns=["h", "at", "n"])
+
+    some = docs.filter(F.length(text) > 0).select(F.xxhash64(doc_id, F.lit("topic")).alias("h"), text)
+    vectors = stored(some.mapInPandas(hash_, "h long, at binary, n binary"))
+    vectors = vectors.coalesce(TOPIC_TASKS)  # every task gives a sum of words x topics
+    total = some.count()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(TOPIC_DIMS, np.int64)
+        for pdf in batches:
+            held += np.bincount(np.frombuffer(b"".join(pdf["at"]), np.uint16), minlength=TOPIC_DIMS)
+        yield pd.DataFrame({"word": np.flatnonzero(held), "held": held[held > 0]})
+
+    held = np.zeros(TOPIC_DIMS)
+    got = vectors.select("at").mapInPandas(words, "word int, held long").groupBy("word").agg(F.sum("held").alias("held")).toPandas()
+    if got.empty:
         return np.zeros((TOPIC_DIMS, 1), np.float32)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.integers(len(x))][None]
-    while len(centres) < min(n, len(x)):  # each next one far from those there are
-        far = np.maximum(1 - (x @ centres.T).max(1), 0) ** 2
-        if far.sum() <= 1e-9:
+    held[got["word"]] = got["held"]
+    idf = np.log((1 + total) / (1 + held))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in batches:
+            pdf, _, at, x, first = _weighed(pdf, idf)
+            if not len(pdf):
+                continue
+            near = np.add.reduceat(centres.T[at] * x[:, None], first).max(1) if len(centres) else np.zeros(len(pdf))
+            far = np.maximum(1 - near, 0) ** 2
+            with np.errstate(over="ignore"):
+                z = pdf["h"].to_numpy().view(np.uint64) + np.uint64((seed * 1000 + len(centres) + 1) * 0x9E3779B97F4A7C15 % 2**64)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            wait = -np.log(((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 1e-17)
+            wait = np.where(far > 1e-9, wait / np.maximum(far, 1e-9), np.inf)  # the first to come is drawn in proportion to `far`
+            i = int(wait.argmin())
+            if np.isfinite(wait[i]) and (best is None or wait[i] < best["wait"][0]):
+                best = {"wait": [float(wait[i])], "h": [pdf["h"].iloc[i]], "at": [pdf["at"].iloc[i]], "n": [pdf["n"].iloc[i]]}
+        if best:
+            yield pd.DataFrame(best)
+
+    centres = np.zeros((0, TOPIC_DIMS))
+    while len(centres) < n:
+        one = vectors.mapInPandas(draw, "wait double, h long, at binary, n binary").orderBy("wait", "h", "at", "n").limit(1).toPandas()
+        if one.empty:
             break
-        centres = np.concatenate([centres, x[rng.choice(len(x), p=far / far.sum())][None]])
+        _, _, at, x, _ = _weighed(one, idf)
+        centres = np.concatenate([centres, np.bincount(at, x, TOPIC_DIMS)[None]])
+        centres[-1] /= np.sqrt((centres[-1] ** 2).sum())
+    if not len(centres):
+        return np.zeros((TOPIC_DIMS, 1), np.float32)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(len(centres) * TOPIC_DIMS, np.int64)
+        for pdf in batches:
+            pdf, row, at, x, first = _weighed(pdf, idf)
+            if len(pdf):
+                near = np.add.reduceat(centres.T[at] * x[:, None], first).argmax(1)
+                sums += np.rint(np.bincount(near[row] * TOPIC_DIMS + at, np.rint(x * _WHOLE), len(sums))).astype(np.int64)
+        some = np.flatnonzero(sums)
+        yield pd.DataFrame({"place": some, "value": sums[some]})
+
     for _ in range(15):
-        near = (x @ centres.T).argmax(1)
-        fresh = np.stack([x[near == t].sum(0) if (near == t).any() else centres[t] for t in range(len(centres))])
+        got = vectors.mapInPandas(add, "place int, value long").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+        fresh = np.zeros(centres.size)
+        fresh[got["place"]] = got["value"] / _WHOLE
+        fresh = fresh.reshape(centres.shape)
+        none = ~fresh.any(1)
+        fresh[none] = centres[none]
         fresh /= np.maximum(np.sqrt((fresh * fresh).sum(1, keepdims=True)), 1e-9)
         if np.abs(fresh - centres).max() < 1e-4:
             break

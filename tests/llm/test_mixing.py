@@ -63,3 +63,15 @@ def test_topics_follow_the_words(spark):
     got = mixing.topic_of([x for _, x in rows], topics)
     assert all(len(set(got[k:300:3])) == 1 for k in range(3)) and len(set(got[:300])) == 3 and set(got[300:]) == {-1}
     assert set(mixing.topic_of(["any words here"], mixing.fit_topics(df.limit(0), "text"))) <= {0}
+
+
+def test_topics_are_fitted_on_every_document(spark):
+    """Two kinds of text and one text unlike all others, whichever it is of 9,000: a topic of its own."""
+    from pyspark.sql import functions as F
+
+    late = spark.range(9_000).orderBy(F.pmod(F.xxhash64("id", F.lit("topic")), F.lit(1_000_000)).desc()).first().id
+    kinds = ["common words about walls", "usual phrases regarding roofs"]
+    rows = [(i, "seldom heard names" if i == late else kinds[i % 2]) for i in range(9_000)]
+    topics = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string"), "text", n=3)
+    got = mixing.topic_of([x for _, x in rows], topics).tolist()
+    assert got.count(got[late]) == 1 and len(set(got)) == 3
