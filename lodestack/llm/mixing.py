@@ -50,6 +50,34 @@ def count_tokens(docs: DataFrame, text: str, tokenizer_path: str, pattern: str,
     return docs.select(*keep, text).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_tokens long" + (", topic string" if topics is not None else ""))
 
 
+def count_tokens_and_topics(docs: DataFrame, text: str, tokenizer_path: str, pattern: str, keep: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """`keep` columns, n_tokens and topic, the topics fitted on these documents: texts are read once, for tokens and hashed words alike."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _encoding(tokenizer_path, pattern)
+        for pdf in batches:
+            pdf["n_tokens"] = [len(enc.encode_ordinary(x)) if x else 0 for x in pdf[text]]
+            pdf["at"], pdf["n"] = _packed(pdf.pop(text))
+            yield pdf
+
+    kinds = dict(docs.dtypes)
+    own = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_tokens long"
+    counted = stored(docs.select(*keep, F.xxhash64(doc_id, F.lit("topic")).alias("h"), text).mapInPandas(
+        lambda b: (p[[*keep, "n_tokens", "h", "at", "n"]] for p in run(b)), own + ", h long, at binary, n binary"))
+    topics = _fit(counted)
+    shared = docs.sparkSession.sparkContext.broadcast(topics)
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row = np.repeat(np.arange(len(pdf)), pdf["at"].str.len().to_numpy(np.int64) // 2)
+            at = np.frombuffer(b"".join(pdf["at"]), np.uint16).astype(np.int64)
+            near = _nearest(len(pdf), row, at, 1 + np.log(np.frombuffer(b"".join(pdf["n"]), np.int32)), shared.value)
+            pdf["topic"] = [f"t{t:02d}" if t >= 0 else None for t in near]
+            yield pdf[[*keep, "n_tokens", "topic"]]
+
+    return counted.mapInPandas(name, own + ", topic string")
+
+
 def source_key(col: Column) -> Column:
     """Sources not written alike: blanks and case dropped, hyphens and spaces as underscores."""
     return F.regexp_replace(F.lower(F.trim(col)), r"[\s\-]+", "_")
@@ -86,21 +114,41 @@ def fit_topics(docs: DataFrame, text: str, doc_id: str = "doc_id", n: int = TOPI
     Fewer topics where there are fewer texts.
     """
 
+    some = docs.filter(F.length(text) > 0).select(F.xxhash64(doc_id, F.lit("topic")).alias("h"), text)
+
     def hash_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for h, x in zip(pdf["h"], pdf[text]):
-                seen = Counter(_LONG_WORD.findall(x.lower()))
-                if seen:
-                    at = np.array([zlib.crc32(w.encode("utf-8", "replace")) % TOPIC_DIMS for w in seen], np.uint16)
-                    order = np.lexsort((list(seen.values()), at))
-                    out.append((h, at[order].tobytes(), np.array(list(seen.values()), np.int32)[order].tobytes()))
-            yield pd.DataFrame(out, columns=["h", "at", "n"])
+            pdf["at"], pdf["n"] = _packed(pdf.pop(text))
+            yield pdf
 
-    some = docs.filter(F.length(text) > 0).select(F.xxhash64(doc_id, F.lit("topic")).alias("h"), text)
-    vectors = stored(some.mapInPandas(hash_, "h long, at binary, n binary"))
+    return _fit(stored(some.mapInPandas(hash_, "h long, at binary, n binary")), n, seed)
+
+
+def _packed(texts: Iterable[str | None]) -> tuple[list[bytes], list[bytes]]:
+    """Of each text its hashed words of four letters and more, in order, and how often each comes."""
+    places, counts, known = [], [], _Places()
+    for x in texts:
+        seen = Counter(_LONG_WORD.findall(x.lower())) if x else {}
+        at, n = np.array([known[w] for w in seen], np.uint16), np.array(list(seen.values()), np.int32)
+        order = np.lexsort((n, at))
+        places.append(at[order].tobytes())
+        counts.append(n[order].tobytes())
+    return places, counts
+
+
+class _Places(dict):
+    """Words to their places, remembered for a batch."""
+
+    def __missing__(self, w: str) -> int:
+        got = self[w] = zlib.crc32(w.encode("utf-8", "replace")) % TOPIC_DIMS
+        return got
+
+
+def _fit(vectors: DataFrame, n: int = TOPICS, seed: int = 11) -> np.ndarray:
+    """As fit_topics, of the stored table of hashed words: h, at, n."""
+    vectors = vectors.select("h", "at", "n").filter(F.length("at") > 0)
+    total = vectors.count()
     vectors = vectors.coalesce(TOPIC_TASKS)  # every task gives a sum of words x topics
-    total = some.count()
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(TOPIC_DIMS, np.int64)
@@ -116,12 +164,12 @@ def fit_topics(docs: DataFrame, text: str, doc_id: str = "doc_id", n: int = TOPI
     idf = np.log((1 + total) / (1 + held))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best, by_word = None, flat()
         for pdf in batches:
             pdf, _, at, x, first = _weighed(pdf, idf)
             if not len(pdf):
                 continue
-            near = np.add.reduceat(centres.T[at] * x[:, None], first).max(1) if len(centres) else np.zeros(len(pdf))
+            near = np.add.reduceat(by_word[at] * x[:, None].astype(np.float32), first).max(1) if len(centres) else np.zeros(len(pdf))
             far = np.maximum(1 - near, 0) ** 2
             with np.errstate(over="ignore"):
                 z = pdf["h"].to_numpy().view(np.uint64) + np.uint64((seed * 1000 + len(centres) + 1) * 0x9E3779B97F4A7C15 % 2**64)
@@ -136,6 +184,7 @@ def fit_topics(docs: DataFrame, text: str, doc_id: str = "doc_id", n: int = TOPI
             yield pd.DataFrame(best)
 
     centres = np.zeros((0, TOPIC_DIMS))
+    flat = lambda: np.ascontiguousarray(centres.T, np.float32)
     while len(centres) < n:
         one = vectors.mapInPandas(draw, "wait double, h long, at binary, n binary").orderBy("wait", "h", "at", "n").limit(1).toPandas()
         if one.empty:
@@ -147,11 +196,11 @@ def fit_topics(docs: DataFrame, text: str, doc_id: str = "doc_id", n: int = TOPI
         return np.zeros((TOPIC_DIMS, 1), np.float32)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(len(centres) * TOPIC_DIMS, np.int64)
+        sums, by_word = np.zeros(len(centres) * TOPIC_DIMS, np.int64), flat()
         for pdf in batches:
             pdf, row, at, x, first = _weighed(pdf, idf)
             if len(pdf):
-                near = np.add.reduceat(centres.T[at] * x[:, None], first).argmax(1)
+                near = np.add.reduceat(by_word[at] * x[:, None].astype(np.float32), first).argmax(1)
                 sums += np.rint(np.bincount(near[row] * TOPIC_DIMS + at, np.rint(x * _WHOLE), len(sums))).astype(np.int64)
         some = np.flatnonzero(sums)
         yield pd.DataFrame({"place": some, "value": sums[some]})
@@ -172,8 +221,11 @@ def fit_topics(docs: DataFrame, text: str, doc_id: str = "doc_id", n: int = TOPI
 
 def topic_of(texts: list[str | None], topics: np.ndarray) -> np.ndarray:
     """The number of each text's topic; -1 for texts without words."""
-    row, at, value = _vectors(texts)
-    out = np.full(len(texts), -1)
+    return _nearest(len(texts), *_vectors(texts), topics)
+
+
+def _nearest(n: int, row: np.ndarray, at: np.ndarray, value: np.ndarray, topics: np.ndarray) -> np.ndarray:
+    out = np.full(n, -1)
     if len(row):
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         out[row[first]] = np.add.reduceat(topics[at] * value[:, None].astype(np.float32), first).argmax(1)

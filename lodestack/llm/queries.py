@@ -42,8 +42,7 @@ def _mix(spark: SparkSession, sf_dir: str):
         "doc_id", mixing.source_key(F.col("source")).alias("source"), "lang", "text")
     targets = table(spark, sf_dir, "mix_target")
     wanted = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")  # 13 rows, fixed
-    counted = mixing.count_tokens(
-        wanted, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN, ["doc_id", "source", "lang"], mixing.fit_topics(wanted, "text"))
+    counted = mixing.count_tokens_and_topics(wanted, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", WORD_PATTERN, ["doc_id", "source", "lang"])
     return mixing.mix_sources(counted, targets)
 
 
