@@ -9,20 +9,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.sources.tables import cut
+from lodestack.sources.tables import stored
 
 DIMS = 1 << 17
-#: bound of the labelled sample the classifier is fitted on: so many positive and so many other segments
-SAMPLE_POSITIVE, SAMPLE_OTHER = 30_000, 50_000
-#: the records those segments come from: about so many, picked by a hash of their ids
-SAMPLE_RECORDS = 40_000
+#: the tasks of a pass over the labelled segments, each of which gives a sum of DIMS numbers; sums are of whole parts of one
+FIT_TASKS, _WHOLE = 64, float(1 << 46)
 #: one host in HELD_OUT is kept for validation; a segment counts from the log-odds on at which so large a share of those
 #: found on the unseen hosts is residue by its label
 HELD_OUT, PRECISION = 10, 0.995
@@ -226,22 +224,15 @@ def _score(features, w: np.ndarray, bias: float) -> np.ndarray:
     return np.add.reduceat(w[f] * value, off[:-1]) + bias if len(off) > 1 else np.zeros(0)
 
 
-def fit_classifier(segments: list[tuple[str, int]], label: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge penalty, minimised by L-BFGS; classes weigh alike, a segment by the logarithm of how often it is seen."""
-    f, off, value = _Hasher()(segments)
-    n, y = np.diff(off), label.astype(float)
-    weight = 1 + np.log(np.maximum(seen, 1))
-    weight = np.where(label, weight / max(weight[label].sum(), 1e-9), weight / max(weight[~label].sum(), 1e-9)) / 2
+def _minimise(cost: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """(weights, bias) of least cost, by L-BFGS; `cost` gives the loss and its slope without the ridge."""
 
-    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = _score((f, off, value), w[:-1], w[-1])
-        loss = np.logaddexp(0, z) - y * z
-        err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
-        g = np.r_[np.bincount(f, np.repeat(err, n) * value, DIMS) + _RIDGE * w[:-1], err.sum()]
-        return float((loss * weight).sum() + _RIDGE / 2 * (w[:-1] ** 2).sum()), g
+    def ridged(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = cost(w)
+        return loss + _RIDGE / 2 * float((w[:-1] ** 2).sum()), g + np.r_[_RIDGE * w[:-1], 0.0]
 
     w = np.zeros(DIMS + 1)
-    now, g = cost(w)
+    now, g = ridged(w)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(_STEPS):
         d, alphas = -g, []
@@ -256,7 +247,7 @@ def fit_classifier(segments: list[tuple[str, int]], label: np.ndarray, seen: np.
         step = 1.0 if past else 1 / max(1e-12, float(np.abs(g).sum()))
         slope = float(g @ d)
         for _ in range(20):
-            new, g2 = cost(w + step * d)
+            new, g2 = ridged(w + step * d)
             if new <= now + 1e-4 * step * slope:
                 break
             step /= 2
@@ -272,6 +263,39 @@ def fit_classifier(segments: list[tuple[str, int]], label: np.ndarray, seen: np.
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def _weight(seen: np.ndarray) -> np.ndarray:
+    return 1 + np.log(np.maximum(seen, 1))
+
+
+def _parts(features) -> tuple[np.ndarray, np.ndarray]:
+    """(features, sizes in pairs): of each segment those that share a unit length, then its own, which count in full."""
+    f, off, value = features
+    own = np.add.reduceat(value == 1, off[:-1], dtype=np.int32)
+    return f, np.column_stack([np.diff(off).astype(np.int32) - own, own]).ravel()
+
+
+def _slopes(f: np.ndarray, pairs: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
+    """(loss, its slope by weights and bias) of some segments in whole parts, so that no order of adding shows."""
+    unit = np.ones((len(y), 2))
+    unit[:, 0] = 1 / np.sqrt(pairs.reshape(-1, 2).sum(1))
+    z = (np.add.reduceat(w[f], np.cumsum(pairs, dtype=np.int64) - pairs).reshape(-1, 2) * unit).sum(1) + w[-1]
+    err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
+    g = np.bincount(f, np.repeat(np.rint(err[:, None] * unit * _WHOLE).ravel(), pairs), DIMS).astype(np.int64)
+    return int(np.rint((np.logaddexp(0, z) - y * z) * weight * _WHOLE).astype(np.int64).sum()), np.r_[g, np.rint(err * _WHOLE).astype(np.int64).sum()]
+
+
+def fit_classifier(segments: list[tuple[str, int]], label: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge penalty, minimised by L-BFGS; classes weigh alike, a segment by the logarithm of how often it is seen."""
+    (f, pairs), y, weight = _parts(_Hasher()(segments)), label.astype(float), _weight(seen)
+    weight = np.where(label, weight / max(weight[label].sum(), 1e-9), weight / max(weight[~label].sum(), 1e-9)) / 2
+
+    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = _slopes(f, pairs, y, weight, w)
+        return loss / _WHOLE, g / _WHOLE
+
+    return _minimise(cost)
+
+
 def _label(records: DataFrame) -> DataFrame:
     """Weakly labelled segments. Others than positive ones come only from records whose status says real; a status that
     says otherwise leaves a segment without phrase unlabelled."""
@@ -288,17 +312,81 @@ def _label(records: DataFrame) -> DataFrame:
                         out.append((s, place, False, host))
             yield pd.DataFrame(out, columns=["segment", "place", "positive", "host"])
 
-    return records.mapInPandas(run, "segment string, place int, positive boolean, host string")
+    return records.select("host", "status", "text").mapInPandas(run, "segment string, place int, positive boolean, host long")
+
 
+#: segments of a stored block: rows stay small
+_BLOCK_SIZE = 16
+_BLOCK = "held boolean, n_positive long, n_other long, w_positive long, w_other long, y binary, seen binary, pairs binary, f binary"
 
-def _sample(records: DataFrame, n_records: int) -> tuple[pd.DataFrame, float]:
-    """(a bounded sample by hash, alike at every size: the segments of least hash, so many of either kind; how many sound segments each of its sound ones stands for)."""
-    if n_records > SAMPLE_RECORDS:
-        records = records.filter(F.pmod(F.xxhash64("record_id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_RECORDS / n_records) + 1)
-    labelled = cut(_label(records).groupBy("segment", "place", "positive").agg(F.count("*").alias("n"), F.min("host").alias("host")).withColumn("h", F.xxhash64("segment", "place")))
-    pick = lambda kind, n: labelled.filter(F.col("positive") == kind).orderBy("h", "segment", "place").limit(n)
-    got = pick(True, SAMPLE_POSITIVE).unionByName(pick(False, SAMPLE_OTHER)).toPandas().sort_values(["segment", "place", "positive"])
-    return got, labelled.filter("not positive").count() / max(1, int((~got["positive"].astype(bool)).sum()))
+
+def _blocks(records: DataFrame) -> DataFrame:
+    """All labelled segments, each once, as stored blocks of features: y (label), seen (how often), pairs and f as of `_parts`.
+    A segment is held out if the host of least checksum that has it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher()
+        for big in batches:
+            for at in range(0, len(big), 2000):
+                pdf = big.iloc[at : at + 2000]
+                out = []
+                for held, part in pdf.groupby(pdf["host"] % HELD_OUT == 0):
+                    f, pairs = _parts(hasher(list(zip(part["segment"], part["place"]))))
+                    f, ends = f.astype(np.int32), np.r_[0, np.cumsum(pairs)]
+                    y, seen = part["positive"].to_numpy(bool), part["n"].to_numpy(np.int64)
+                    whole = np.rint(_weight(seen) * (1 << 20)).astype(np.int64)
+                    for i in range(0, len(y), _BLOCK_SIZE):
+                        j = min(i + _BLOCK_SIZE, len(y))
+                        is_, n, of = y[i:j], int(y[i:j].sum()), int(whole[i:j][y[i:j]].sum())
+                        out.append((bool(held), n, j - i - n, of, int(whole[i:j].sum()) - of, is_.tobytes(), seen[i:j].tobytes(), pairs[2 * i : 2 * j].tobytes(), f[ends[2 * i] : ends[2 * j]].tobytes()))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+    hosts = records.withColumn("host", F.crc32(F.coalesce("host", F.lit("")).cast("binary")))
+    once = _label(hosts).groupBy("segment", "place", "positive").agg(F.count("*").alias("n"), F.min("host").alias("host"))
+    return stored(once.mapInPandas(run, _BLOCK))
+
+
+def _opened(batches: Iterator[pd.DataFrame], n: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(features and pairs as of `_parts`, labels, how often seen) of blocks, n at a time."""
+    for pdf in batches:
+        for at in range(0, len(pdf), n):
+            yield tuple(np.frombuffer(b"".join(pdf[c].iloc[at : at + n]), t) for c, t in (("f", np.int32), ("pairs", np.int32), ("y", bool), ("seen", np.int64)))
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of at most FIT_TASKS tasks as one."""
+    yield pd.DataFrame({"sums": [sum((np.frombuffer(x, np.int64) for pdf in batches for x in pdf["sums"]), np.zeros(DIMS + 2, np.int64)).tobytes()]})
+
+
+def _fit(blocks: DataFrame, w_positive: int, w_other: int) -> tuple[np.ndarray, float]:
+    """As fit_classifier, over stored blocks: a pass for each cost, of which the driver holds DIMS numbers."""
+    spark = blocks.sparkSession
+    blocks = blocks.select("y", "seen", "pairs", "f").coalesce(FIT_TASKS)
+    each = np.array([w_other, w_positive]) / (1 << 20) * 2
+
+    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(w)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, w = np.zeros(DIMS + 2, np.int64), shared.value
+            for f, pairs, y, seen in _opened(batches):
+                loss, g = _slopes(f, pairs, y.astype(float), _weight(seen) / each[y.astype(int)], w)
+                sums[:-1] += g
+                sums[-1] += loss
+            yield pd.DataFrame({"sums": [sums.tobytes()]})
+
+        got = blocks.mapInPandas(run, "sums binary").repartition(1).mapInPandas(_added, "sums binary").collect()
+        shared.destroy()
+        sums = np.frombuffer(got[0]["sums"], np.int64) / _WHOLE
+        return float(sums[-1]), sums[:-1]
+
+    return _minimise(cost)
+
+
+def _last_good(right: np.ndarray, said: np.ndarray, precision: float) -> int:
+    """The last place up to which so large a share of what is said is right; -1 if there is none."""
+    good = np.flatnonzero(right >= precision * said)
+    return int(good[-1]) if len(good) else -1
 
 
 def least_score(z: np.ndarray, label: np.ndarray, seen: np.ndarray, precision: float = PRECISION, enough: int = 30) -> float:
@@ -306,39 +394,83 @@ def least_score(z: np.ndarray, label: np.ndarray, seen: np.ndarray, precision: f
     if label.sum() < enough:
         return 0.0
     o = np.argsort(-z, kind="stable")
-    share = np.cumsum((label * seen)[o]) / np.cumsum(seen[o])
-    good = np.flatnonzero(share >= precision)
-    if not len(good):
+    at = _last_good(np.cumsum((label * seen)[o]), np.cumsum(seen[o]), precision)
+    if at < 0:
         return float(z.max())
-    at = int(good[-1])
     return float(z[o[at]] + z[o[min(at + 1, len(z) - 1)]]) / 2
 
 
+def _ranks(z: np.ndarray) -> np.ndarray:
+    """Numbers in the order of 32-bit scores."""
+    u = (np.asarray(z, np.float32) + np.float32(0)).view(np.uint32)
+    return np.where(u >> 31, ~u, u | np.uint32(1 << 31)).astype(np.int64)
+
+
+def _score_of(rank: int) -> float:
+    u = rank ^ (1 << 31) if rank >> 31 else rank ^ 0xFFFFFFFF
+    return float(np.array([u], np.uint32).view(np.float32)[0])
+
+
+def held_out_score(blocks: DataFrame, w: np.ndarray, bias: float, precision: float = PRECISION, enough: int = 30) -> dict[str, float]:
+    """threshold as of least_score, precision and recall over all segments of `blocks`, which stay where they are: sums by the upper
+    half of the scores' bits come first, then those scores one by one among which the share can be reached, the lowest first."""
+    shared = blocks.sparkSession.sparkContext.broadcast((w, bias))
+    blocks = blocks.select("y", "seen", "pairs", "f").coalesce(FIT_TASKS)
+
+    def tally(within: list[int] | None) -> pd.DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f, pairs, y, seen in _opened(batches):
+                size = pairs.reshape(-1, 2)
+                value = np.repeat(np.column_stack([1 / np.sqrt(size.sum(1)), np.ones(len(size))]).ravel(), pairs).astype(np.float32)
+                rank = _ranks(_score((f, np.r_[0, np.cumsum(size.sum(1), dtype=np.int64)], value), *shared.value))
+                part = pd.DataFrame({"rank": rank >> 16 if within is None else rank, "residue": seen * y, "seen": seen, "labels": y.astype(np.int64)})
+                yield part if within is None else part[np.isin(rank >> 16, within)]
+
+        got = blocks.mapInPandas(run, "rank long, residue long, seen long, labels long").groupBy("rank").agg(*[F.sum(c).alias(c) for c in ("residue", "seen", "labels")])
+        return got.toPandas().sort_values("rank", ascending=False, ignore_index=True)
+
+    bins = tally(None)
+    right, said = bins["residue"].cumsum().to_numpy(), bins["seen"].cumsum().to_numpy()
+    all_right = int(right[-1])
+
+    def report(threshold: float, right: int, said: int) -> dict[str, float]:
+        return {"threshold": threshold, "precision": float(right / max(1, said)), "recall": float(right / max(1, all_right))}
+
+    if bins["labels"].sum() < enough:
+        zero = int(_ranks(np.zeros(1))[0])
+        fine = tally([zero >> 16])
+        above, over = bins["rank"] > zero >> 16, fine["rank"] > zero
+        return report(0.0, *(int(bins[c][above].sum() + fine[c][over].sum()) for c in ("residue", "seen")))
+    before_right, before = right - bins["residue"], said - bins["seen"]
+    can = np.flatnonzero((bins["residue"] > 0) & (right >= precision * (before + bins["residue"])))[::-1]
+    for i in can:
+        fine = tally([int(bins["rank"][j]) for j in (i, i + 1) if j < len(bins)])
+        mine = fine["rank"].to_numpy() >> 16 == bins["rank"][i]
+        r, s = before_right[i] + fine["residue"].cumsum().to_numpy(), before[i] + fine["seen"].cumsum().to_numpy()
+        at = _last_good(r[mine], s[mine], precision)
+        if at >= 0:
+            threshold = (_score_of(int(fine["rank"][at])) + _score_of(int(fine["rank"][min(at + 1, len(fine) - 1)]))) / 2
+            last = at + 1 < len(fine)  # the least score of all is its own threshold, which nothing at it passes
+            return report(threshold, int(r[at] if last else before_right[i] + fine["residue"][:at].sum()), int(s[at] if last else before[i] + fine["seen"][:at].sum()))
+    return report(_score_of(int(tally([int(bins["rank"][0])])["rank"][0])), 0, 0)
+
+
 def train(records: DataFrame) -> tuple[np.ndarray, float, dict[str, float]]:
     """(weights, bias, validation on unseen hosts) from `records` with record_id, host, status, kind, text.
 
-    The report holds `threshold`, found on the unseen hosts, and precision and recall there.
+    Every labelled segment of every record is fitted on or, of the unseen hosts, validates. The report holds `threshold`,
+    found on the unseen hosts, and precision and recall there.
     """
-    n = records.count()
-    sample, stands_for = _sample(records, n)
-    if sample.empty or not sample["positive"].any() or sample["positive"].all():
+    blocks = _blocks(records)
+    had = {r["held"]: r for r in blocks.groupBy("held").agg(*[F.sum(c).alias(c) for c in ("n_positive", "n_other", "w_positive", "w_other")]).collect()}
+    count = lambda c, *held: sum(had[h][c] for h in held if h in had)
+    if not count("n_positive", True, False) or not count("n_other", True, False):
         return np.zeros(DIMS, np.float32), -9.0, {"validated": 0.0, "threshold": 0.0}
-    held = sample["host"].fillna("").map(lambda h: zlib.crc32(h.encode()) % HELD_OUT == 0).to_numpy()
-    seg = list(zip(sample["segment"], sample["place"]))
-    y, seen = sample["positive"].to_numpy(bool), sample["n"].to_numpy(float)
-    stands = np.where(y, seen, seen * stands_for)
-    fit = np.flatnonzero(~held)
-    if not y[fit].any() or y[fit].all():
-        fit = np.arange(len(y))
-    w, b = fit_classifier([seg[i] for i in fit], y[fit], seen[fit])
-    report = {"validated": float(held.sum()), "threshold": 0.0}
-    if held.any():
-        test = np.flatnonzero(held)
-        z = _score(_Hasher()([seg[i] for i in test]), w, b)
-        report["threshold"] = least_score(z, y[test], stands[test])
-        said = z > report["threshold"]
-        hit = (stands[test] * (said & y[test])).sum()
-        report |= {"precision": float(hit / max(1, stands[test][said].sum())), "recall": float(hit / max(1, stands[test][y[test]].sum()))}
+    on = (False,) if count("n_positive", False) and count("n_other", False) else (True, False)
+    w, b = _fit(blocks.filter(F.col("held").isin(*on)), count("w_positive", *on), count("w_other", *on))
+    report = {"validated": float(count("n_positive", True) + count("n_other", True)), "threshold": 0.0}
+    if report["validated"]:
+        report |= held_out_score(blocks.filter("held"), w, b)
     return w, b, report
 
 
@@ -349,7 +481,7 @@ def find_residue(records: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     no phrase is looked at after the fit. score is the largest log-odds of a segment, segment the text it is of.
     `records` has record_id, host, status, kind, text. Null, empty and blank texts are no cases; a null status labels
     nothing; a null host is a host of its own. Repeated ids are judged each for themselves. Without any segment of either
-    kind to learn from nothing is found. Texts are read whole; nothing is shuffled but the labelled sample.
+    kind to learn from nothing is found. Texts are read whole; nothing is shuffled but the labelled segments, and the sums of a pass over them.
     """
     rows = records.select("record_id", "host", "status", "kind", "text").filter(F.col("text").isNotNull())
     w, b, report = train(rows)
@@ -370,7 +502,7 @@ def find_residue(records: DataFrame) -> tuple[DataFrame, dict[str, float]]:
                     continue
                 z = _score(hasher(seg), w, b)
                 out = {}
-                for k in np.flatnonzero(z > threshold):
+                for k in np.flatnonzero(z.astype(float) > threshold):
                     if z[k] > out.get(owner[k], (-1e9,))[0]:
                         out[owner[k]] = (float(z[k]), seg[k][0])
                 if out:

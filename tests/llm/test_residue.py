@@ -110,3 +110,20 @@ def test_records(spark):
     assert len(got & bad) >= 0.97 * len(bad) and not {g for g in got if g[0] != "b"}
     assert report["recall"] > 0.8
     assert R.find_residue(df.limit(0))[0].count() == 0
+
+
+def test_every_labelled_segment_counts(spark):
+    """60,000 records of one segment each: all on unseen hosts validate, and the threshold is that of all their scores."""
+    mark = F.when(F.col("id") % 300 == 0, F.concat(F.lit("Error 404 at "), "id")).when(F.col("id") % 299 == 0, F.concat(F.lit("Wall {{ x }} "), "id")).otherwise(F.concat(F.lit("The wall is "), F.hash("id") % 97, F.lit(" high in w"), F.hex("id"), F.lit(".")))
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("record_id"), F.concat(F.lit("h"), F.col("id") % 211).alias("host"), F.lit("real").alias("status"), F.lit("k").alias("kind"), mark.alias("text"))
+    held = F.crc32(F.col("host").cast("binary")) % R.HELD_OUT == 0
+    w, b, report = R.train(rows)
+    assert report["validated"] == rows.filter(held).count() > 1000
+    own = np.random.default_rng(3).normal(size=R.DIMS).astype(np.float32)
+    seg = [(s, p) for r in rows.filter(held).select("text").collect() for s, p in R._cut(r.text)]
+    y = np.array([R._phrase(s) for s, _ in seg])
+    for weights, precision in ((w, 0.995), (own, 0.02), (own, 0.999)):
+        z = R._score(R._Hasher()(seg), weights, b)
+        got = R.held_out_score(R._blocks(rows).filter("held"), weights, b, precision)
+        assert got["threshold"] == pytest.approx(R.least_score(z, y, np.ones(len(y)), precision), abs=1e-4)
+        assert got["recall"] == pytest.approx((y & (z > got["threshold"])).sum() / y.sum(), abs=0.01)
