@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import clean, code_prefixes, word_tokens
+from lodestack.sources.tables import stored
+
+#: ranges in which titles are numbered, and the bits of such a number (that of the range and 33 of the row in it)
+_RANGES, _NO_BITS = 64, 39
 
 
 def keyword_tags(items: DataFrame, item_id: str, text: str, lexicon: list[tuple[str, str, float]]) -> DataFrame:
@@ -37,14 +41,15 @@ def resolve_references(refs: DataFrame, documents: DataFrame, least: float = 0.6
     """(ref_id, document_id, overlap): the document whose title shares the largest part of a reference's words, at least `least`.
 
     A reference meets only documents that share one of its rarest words: of n words, need of which must be shared, one of
-    the n - need + 1 rarest is among them; they are scored where they meet, so no pair is shuffled, and of a
-    reference only the best leaves a task. References and titles of the same words go as one. Ties go to the smaller document
+    the n - need + 1 rarest is among them; they are scored where they meet, so no pair is shuffled or sorted: titles are
+    numbered in the order of their ids, and the best of a reference is the least of numbers, kept by hash. References and titles of the same words go as one. Ties go to the smaller document
     id; references of fewer than `least_words` words resolve to nothing; words are counted once.
     """
     words_of = lambda c: F.array_join(F.array_sort(F.array_distinct(word_tokens(F.col(c)))), " ")  # noqa: E731 - a text is shuffled for less than an array
     r = refs.select("ref_id", words_of("raw_text").alias("said"))
     d = documents.select("document_id", words_of("title").alias("dw")).filter("dw <> ''").groupBy("dw").agg(F.min("document_id").alias("document_id"))
-    words = d.select("document_id", F.split("dw", " ").alias("dw")).select("document_id", "dw", F.explode("dw").alias("word"))
+    d = stored(d.repartitionByRange(_RANGES, "document_id").sortWithinPartitions("document_id").withColumn("no", F.monotonically_increasing_id()))
+    words = d.select("no", F.split("dw", " ").alias("dw")).select("no", "dw", F.explode("dw").alias("word"))
     known = words.groupBy("word").agg(F.count("*").alias("n_titles"))
     asked = r.select("said").distinct().withColumn("w", F.split("said", " ")).filter((F.col("said") != "") & (F.size("w") >= least_words))
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("n_titles", F.lit(0)).alias("n"), "word"))).alias("o")
@@ -53,10 +58,10 @@ def resolve_references(refs: DataFrame, documents: DataFrame, least: float = 0.6
     rare = ranked.select("said", F.col("o.word").alias("w")).select("said", "w", F.posexplode(F.slice("w", F.lit(1), F.size("w") - need + 1)).alias("at", "word"))
     met = rare.join(words, "word").filter(F.size("dw") >= need)
     met = met.filter(~F.arrays_overlap(F.slice("w", F.lit(1), F.col("at")), "dw"))  # a title with a rarer word of the reference met it there
-    scored = met.select("said", "document_id", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6).alias("overlap")).filter(F.col("overlap") >= least)
-    best = F.min(F.struct((-F.col("overlap")).alias("o"), "document_id")).alias("b")
-    found = r.join(scored.groupBy("said").agg(best), "said").groupBy("ref_id").agg(F.min("b").alias("b"))
-    return found.select("ref_id", "b.document_id", (-F.col("b.o")).alias("overlap"))
+    scored = met.select("said", "no", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6).alias("overlap")).filter(F.col("overlap") >= least)
+    best = F.min(F.round((1 - F.col("overlap")) * 1_000_000).cast("long") * F.lit(1 << _NO_BITS) + F.col("no")).alias("b")  # the largest overlap, then the least id
+    found = r.join(scored.groupBy("said").agg(best), "said").groupBy("ref_id").agg(F.min("b").alias("b")).withColumn("no", F.col("b").bitwiseAND((1 << _NO_BITS) - 1))
+    return found.join(d.select("no", "document_id"), "no").select("ref_id", "document_id", ((1_000_000 - F.shiftright("b", _NO_BITS)) / 1_000_000).alias("overlap"))
 
 
 def reference_states(refs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -156,6 +156,16 @@ def test_reference_states_shuffle_no_pairs(spark):
     assert _no_pairs_shuffled(got)
 
 
+def test_reference_states_sort_no_pairs(spark):
+    """Every reference meets every title: the best is kept by hash, the smaller id of equals; titles come in any order."""
+    docs = spark.createDataFrame([(f"d{i:03d}", f"quiet rooms guide n{i}") for i in range(300, 0, -1)] + [("d500", "quiet rooms guide x7 x8"), ("c", "roof")], "document_id string, title string").repartition(5)
+    refs = spark.createDataFrame([(f"r{i}", "other", f"rooms quiet guide x{i}") for i in range(30)], "ref_id string, ref_kind string, raw_text string")
+    got = enrich.reference_states(refs, docs)
+    assert {(r.ref_id, r.document_id) for r in got.collect()} == {(f"r{i}", "d500" if i in (7, 8) else "d001") for i in range(30)}
+    assert {(r.ref_id, r.overlap) for r in enrich.resolve_references(refs, docs).collect()} == {(f"r{i}", 1.0 if i in (7, 8) else 0.75) for i in range(30)}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reference_states_tags_and_stages(spark):
     refs = spark.createDataFrame([("1", "page", "(Module 2 Chapter 4)"), ("2", "page", "see overleaf"), ("3", "sibling_doc", "Companion volume"), ("4", "page", "quiet rooms guide"), ("5", None, None)],
                                  "ref_id string, ref_kind string, raw_text string")
