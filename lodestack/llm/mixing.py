@@ -23,6 +23,8 @@ from lodestack.sources.tables import stored
 BINS = 4096
 #: topics, the dimensions of hashed words, the tasks of a pass that fits them; sums are of whole parts of one
 TOPICS, TOPIC_DIMS, TOPIC_TASKS, _WHOLE = 12, 4096, 64, float(1 << 26)
+#: texts whose words meet the topics at once: what is computed of them stays in a processor's cache
+_CHUNK = 1000
 _LONG_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
@@ -68,12 +70,11 @@ def count_tokens_and_topics(docs: DataFrame, text: str, tokenizer_path: str, pat
     shared = docs.sparkSession.sparkContext.broadcast(topics)
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _chunks(batches):
             row = np.repeat(np.arange(len(pdf)), pdf["at"].str.len().to_numpy(np.int64) // 2)
             at = np.frombuffer(b"".join(pdf["at"]), np.uint16).astype(np.int64)
             near = _nearest(len(pdf), row, at, 1 + np.log(np.frombuffer(b"".join(pdf["n"]), np.int32)), shared.value)
-            pdf["topic"] = [f"t{t:02d}" if t >= 0 else None for t in near]
-            yield pdf[[*keep, "n_tokens", "topic"]]
+            yield pdf[[*keep, "n_tokens"]].assign(topic=[f"t{t:02d}" if t >= 0 else None for t in near])
 
     return counted.mapInPandas(name, own + ", topic string")
 
@@ -94,6 +95,12 @@ def _vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.array(row, np.int64), np.array(at, np.int64), np.array(n)
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), _CHUNK):
+            yield pdf.iloc[at : at + _CHUNK]
+
+
 def _weighed(batch: pd.DataFrame, idf: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(vectors with some weight, text number, hashed word, unit weight, first place of each text)."""
     size = batch["at"].str.len().to_numpy(np.int64) // 2
@@ -165,7 +172,7 @@ def _fit(vectors: DataFrame, n: int = TOPICS, seed: int = 11) -> np.ndarray:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best, by_word = None, flat()
-        for pdf in batches:
+        for pdf in _chunks(batches):
             pdf, _, at, x, first = _weighed(pdf, idf)
             if not len(pdf):
                 continue
@@ -197,7 +204,7 @@ def _fit(vectors: DataFrame, n: int = TOPICS, seed: int = 11) -> np.ndarray:
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, by_word = np.zeros(len(centres) * TOPIC_DIMS, np.int64), flat()
-        for pdf in batches:
+        for pdf in _chunks(batches):
             pdf, row, at, x, first = _weighed(pdf, idf)
             if len(pdf):
                 near = np.add.reduceat(by_word[at] * x[:, None].astype(np.float32), first).argmax(1)

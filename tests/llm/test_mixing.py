@@ -75,3 +75,9 @@ def test_topics_are_fitted_on_every_document(spark):
     topics = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string"), "text", n=3)
     got = mixing.topic_of([x for _, x in rows], topics).tolist()
     assert got.count(got[late]) == 1 and len(set(got)) == 3
+
+
+def test_passes_take_few_texts_at_a_time():
+    """However large a batch, words meet the topics of a thousand texts at once; none is lost and the order stays."""
+    got = list(mixing._chunks(iter([pd.DataFrame({"h": range(2500)}), pd.DataFrame({"h": []}), pd.DataFrame({"h": [2500]})])))
+    assert max(map(len, got)) <= 1000 and [int(h) for p in got for h in p["h"]] == list(range(2501))
