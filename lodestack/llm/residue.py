@@ -24,7 +24,7 @@ FIT_TASKS, _WHOLE = 64, float(1 << 46)
 #: one host in HELD_OUT is kept for validation; a segment counts from the log-odds on at which so large a share of those
 #: found on the unseen hosts is residue by its label
 HELD_OUT, PRECISION = 10, 0.995
-_RIDGE, _STEPS, _MEMORY = 3e-6, 80, 8
+_RIDGE, _STEPS, _MEMORY = 3e-6, 80, 30
 
 _SEGMENT = re.compile(r"[^\n\f]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[”\"’]?\s+(?=[A-ZÀ-ÞŒ0-9“„«‘\[{<$%#@_(])")
@@ -67,6 +67,8 @@ _TRIGGERS = (
     "preview is", "upload incomplete", "ocr failed", "#ref", "#name", "#value", "#div", "#n/a", "exception", "stack", "connection before", "few seconds", "script", "skript",
     "browser", "navigateur", "navegador", "update it", "turn them on", "some features", "reference:",
 )
+#: blanks that the triggers don't foresee, and letters that a search in any case takes for i, k or s
+_ODD = re.compile("[^\\S ]|  |[\u0130\u0131\u017f\u212a]")
 #: words of the traditional Latin filler (a fixed public passage and its generators)
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipisicing adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat"
@@ -108,9 +110,14 @@ def _may_hold_marks(segment: str) -> bool:
     return bool(_CHARS.search(segment)) or "....." in segment or "mm" in segment.lower()
 
 
+def _may_hold_phrases(segment: str) -> bool:
+    """Whether a segment can hold a phrase at all: most of a text with a trigger have none themselves."""
+    return _triggered(segment) or segment.lower() == "only" or bool(_ODD.search(segment))
+
+
 def _phrase(segment: str, triggered: bool | None = None) -> bool:
     """The weak label of a segment; it marks what the classifier is fitted on, and has no say in what is found."""
-    if (triggered if triggered is not None else _triggered(segment)) and _PHRASES.search(segment):
+    if (triggered if triggered is not None else _triggered(segment)) and _may_hold_phrases(segment) and _PHRASES.search(segment):
         return True
     if _may_hold_marks(segment) and any(p.search(segment) for p, _ in _SHAPES):
         return True
@@ -221,11 +228,23 @@ class _Hasher:
 
 def _score(features, w: np.ndarray, bias: float) -> np.ndarray:
     f, off, value = features
-    return np.add.reduceat(w[f] * value, off[:-1]) + bias if len(off) > 1 else np.zeros(0)
+    return _sums((w[f] * value).astype(float), np.diff(off)).astype(np.float32) + bias if len(off) > 1 else np.zeros(0)
+
+
+def _sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of so many numbers each; of an empty run 0."""
+    out, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(x, (np.cumsum(sizes, dtype=np.int64) - sizes)[some])
+    return out
+
 
+def _minimise(cost: Callable[[np.ndarray], tuple[float, np.ndarray]], size: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, bias) of least cost, by L-BFGS; `cost` gives the loss and its slope without the ridge.
 
-def _minimise(cost: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """(weights, bias) of least cost, by L-BFGS; `cost` gives the loss and its slope without the ridge."""
+    size: per feature, and for the bias, the sum of weighted squares. Slopes are scaled by its root: common features, which all
+    segments pull at, take small steps and rare ones large steps, which takes far fewer passes to the same least cost.
+    """
 
     def ridged(w: np.ndarray) -> tuple[float, np.ndarray]:
         loss, g = cost(w)
@@ -233,18 +252,20 @@ def _minimise(cost: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> tuple[n
 
     w = np.zeros(DIMS + 1)
     now, g = ridged(w)
+    scale = 1 / np.sqrt(size / 4 + _RIDGE)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(_STEPS):
         d, alphas = -g, []
         for s, t, r in reversed(past):
             alphas.append(r * (s @ d))
             d = d - alphas[-1] * t
+        d = d * scale
         if past:
             s, t, r = past[-1]
-            d *= 1 / (r * (t @ t))
+            d *= 1 / (r * (t @ (scale * t)))
         for (s, t, r), a in zip(past, reversed(alphas)):
             d += (a - r * (t @ d)) * s
-        step = 1.0 if past else 1 / max(1e-12, float(np.abs(g).sum()))
+        step = 1.0
         slope = float(g @ d)
         for _ in range(20):
             new, g2 = ridged(w + step * d)
@@ -274,16 +295,34 @@ def _parts(features) -> tuple[np.ndarray, np.ndarray]:
     return f, np.column_stack([np.diff(off).astype(np.int32) - own, own]).ravel()
 
 
-def _slopes(f: np.ndarray, pairs: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
-    """(loss, its slope by weights and bias) of some segments in whole parts, so that no order of adding shows."""
-    unit = np.ones((len(y), 2))
-    unit[:, 0] = 1 / np.sqrt(pairs.reshape(-1, 2).sum(1))
-    z = (np.add.reduceat(w[f], np.cumsum(pairs, dtype=np.int64) - pairs).reshape(-1, 2) * unit).sum(1) + w[-1]
+def _units(runs: np.ndarray, n: int) -> np.ndarray:
+    """The values of the features of n segments: of those that share a unit length, and of each of its own. runs: sizes as of `_parts`,
+    for all features or for the lower and then the upper ones."""
+    unit = np.ones((n, 2))
+    unit[:, 0] = 1 / np.sqrt(runs.reshape(-1, n, 2).sum((0, 2)))
+    return unit
+
+
+def _by_feature(f: np.ndarray, runs: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Sums by feature of what each of its segments says, in whole parts, so that no order of adding shows."""
+    whole = np.rint(each * _WHOLE).ravel()
+    return np.bincount(f, np.repeat(np.tile(whole, len(runs) // len(whole)), runs), DIMS).astype(np.int64)
+
+
+def _slopes(f: np.ndarray, runs: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray]:
+    """(loss, its slope by weights and bias) of some segments in whole parts."""
+    unit = _units(runs, len(y))
+    z = (_sums(w[f], runs).reshape(-1, len(y), 2).sum(0) * unit).sum(1) + w[-1]
     err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weight
-    g = np.bincount(f, np.repeat(np.rint(err[:, None] * unit * _WHOLE).ravel(), pairs), DIMS).astype(np.int64)
+    g = _by_feature(f, runs, err[:, None] * unit)
     return int(np.rint((np.logaddexp(0, z) - y * z) * weight * _WHOLE).astype(np.int64).sum()), np.r_[g, np.rint(err * _WHOLE).astype(np.int64).sum()]
 
 
+def _squares(f: np.ndarray, runs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted squares by feature, and the weight, in whole parts."""
+    return np.r_[_by_feature(f, runs, weight[:, None] * _units(runs, len(weight)) ** 2), np.rint(weight * _WHOLE).astype(np.int64).sum()]
+
+
 def fit_classifier(segments: list[tuple[str, int]], label: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge penalty, minimised by L-BFGS; classes weigh alike, a segment by the logarithm of how often it is seen."""
     (f, pairs), y, weight = _parts(_Hasher()(segments)), label.astype(float), _weight(seen)
@@ -293,7 +332,7 @@ def fit_classifier(segments: list[tuple[str, int]], label: np.ndarray, seen: np.
         loss, g = _slopes(f, pairs, y, weight, w)
         return loss / _WHOLE, g / _WHOLE
 
-    return _minimise(cost)
+    return _minimise(cost, _squares(f, pairs, weight) / _WHOLE)
 
 
 def _label(records: DataFrame) -> DataFrame:
@@ -316,13 +355,13 @@ def _label(records: DataFrame) -> DataFrame:
 
 
 #: segments of a stored block: rows stay small
-_BLOCK_SIZE = 16
-_BLOCK = "held boolean, n_positive long, n_other long, w_positive long, w_other long, y binary, seen binary, pairs binary, f binary"
+_BLOCK_SIZE, _HALF = 16, 1 << 16
+_BLOCK = "held boolean, n_positive long, n_other long, w_positive long, w_other long, y binary, seen binary, pairs binary, lower binary, upper binary"
 
 
 def _blocks(records: DataFrame) -> DataFrame:
-    """All labelled segments, each once, as stored blocks of features: y (label), seen (how often), pairs and f as of `_parts`.
-    A segment is held out if the host of least checksum that has it is."""
+    """All labelled segments, each once, as stored blocks: y (label), seen (how often), its features in two
+    halves, of which 16 bits are kept, and pairs, the sizes as of `_parts` in the one and in the other. A segment is held out if the host of least checksum that has it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
@@ -332,25 +371,33 @@ def _blocks(records: DataFrame) -> DataFrame:
                 out = []
                 for held, part in pdf.groupby(pdf["host"] % HELD_OUT == 0):
                     f, pairs = _parts(hasher(list(zip(part["segment"], part["place"]))))
-                    f, ends = f.astype(np.int32), np.r_[0, np.cumsum(pairs)]
+                    of_pair, up, f = np.repeat(np.arange(len(pairs)), pairs), f >= _HALF, f.astype(np.uint16)
+                    sizes = [np.bincount(of_pair[at], minlength=len(pairs)).astype(np.int32) for at in (~up, up)]
+                    halves = [(f[at], np.r_[0, np.cumsum(n)]) for at, n in zip((~up, up), sizes)]
                     y, seen = part["positive"].to_numpy(bool), part["n"].to_numpy(np.int64)
                     whole = np.rint(_weight(seen) * (1 << 20)).astype(np.int64)
                     for i in range(0, len(y), _BLOCK_SIZE):
                         j = min(i + _BLOCK_SIZE, len(y))
                         is_, n, of = y[i:j], int(y[i:j].sum()), int(whole[i:j][y[i:j]].sum())
-                        out.append((bool(held), n, j - i - n, of, int(whole[i:j].sum()) - of, is_.tobytes(), seen[i:j].tobytes(), pairs[2 * i : 2 * j].tobytes(), f[ends[2 * i] : ends[2 * j]].tobytes()))
+                        out.append((bool(held), n, j - i - n, of, int(whole[i:j].sum()) - of, is_.tobytes(), seen[i:j].tobytes(),
+                                    np.stack([x[2 * i : 2 * j] for x in sizes]).tobytes(), *[h[ends[2 * i] : ends[2 * j]].tobytes() for h, ends in halves]))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCK.split(", ")])
 
     hosts = records.withColumn("host", F.crc32(F.coalesce("host", F.lit("")).cast("binary")))
     once = _label(hosts).groupBy("segment", "place", "positive").agg(F.count("*").alias("n"), F.min("host").alias("host"))
-    return stored(once.mapInPandas(run, _BLOCK))
+    return stored(once.mapInPandas(run, _BLOCK), compression="none")  # hashes don't shrink, and are read in every pass
 
 
-def _opened(batches: Iterator[pd.DataFrame], n: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(features and pairs as of `_parts`, labels, how often seen) of blocks, n at a time."""
+def _opened(batches: Iterator[pd.DataFrame], n: int = 250) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, first the lower ones, sizes as of `_units`, labels, how often seen) of blocks, n at a time."""
     for pdf in batches:
         for at in range(0, len(pdf), n):
-            yield tuple(np.frombuffer(b"".join(pdf[c].iloc[at : at + n]), t) for c, t in (("f", np.int32), ("pairs", np.int32), ("y", bool), ("seen", np.int64)))
+            lower, upper, y, seen = (np.frombuffer(b"".join(pdf[c].iloc[at : at + n]), t) for c, t in (("lower", np.uint16), ("upper", np.uint16), ("y", bool), ("seen", np.int64)))
+            f = np.empty(len(lower) + len(upper), np.intp)
+            f[: len(lower)], f[len(lower) :] = lower, upper
+            f[len(lower) :] += _HALF
+            pairs = [np.frombuffer(x, np.int32).reshape(2, -1) for x in pdf["pairs"].iloc[at : at + n]]
+            yield f, np.concatenate(pairs, 1).ravel(), y, seen
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,26 +408,31 @@ def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fit(blocks: DataFrame, w_positive: int, w_other: int) -> tuple[np.ndarray, float]:
     """As fit_classifier, over stored blocks: a pass for each cost, of which the driver holds DIMS numbers."""
     spark = blocks.sparkSession
-    blocks = blocks.select("y", "seen", "pairs", "f").coalesce(FIT_TASKS)
+    blocks = blocks.select("y", "seen", "pairs", "lower", "upper").coalesce(FIT_TASKS)
     each = np.array([w_other, w_positive]) / (1 << 20) * 2
 
-    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
+    def passed(w: np.ndarray | None) -> np.ndarray:
+        """Slope and loss at w, or squares."""
         shared = spark.sparkContext.broadcast(w)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums, w = np.zeros(DIMS + 2, np.int64), shared.value
-            for f, pairs, y, seen in _opened(batches):
-                loss, g = _slopes(f, pairs, y.astype(float), _weight(seen) / each[y.astype(int)], w)
+            for f, runs, y, seen in _opened(batches):
+                weight = _weight(seen) / each[y.astype(int)]
+                loss, g = _slopes(f, runs, y.astype(float), weight, w) if w is not None else (0, _squares(f, runs, weight))
                 sums[:-1] += g
                 sums[-1] += loss
             yield pd.DataFrame({"sums": [sums.tobytes()]})
 
         got = blocks.mapInPandas(run, "sums binary").repartition(1).mapInPandas(_added, "sums binary").collect()
         shared.destroy()
-        sums = np.frombuffer(got[0]["sums"], np.int64) / _WHOLE
+        return np.frombuffer(got[0]["sums"], np.int64) / _WHOLE
+
+    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = passed(w)
         return float(sums[-1]), sums[:-1]
 
-    return _minimise(cost)
+    return _minimise(cost, passed(None)[:-1])
 
 
 def _last_good(right: np.ndarray, said: np.ndarray, precision: float) -> int:
@@ -415,14 +467,15 @@ def held_out_score(blocks: DataFrame, w: np.ndarray, bias: float, precision: flo
     """threshold as of least_score, precision and recall over all segments of `blocks`, which stay where they are: sums by the upper
     half of the scores' bits come first, then those scores one by one among which the share can be reached, the lowest first."""
     shared = blocks.sparkSession.sparkContext.broadcast((w, bias))
-    blocks = blocks.select("y", "seen", "pairs", "f").coalesce(FIT_TASKS)
+    blocks = blocks.select("y", "seen", "pairs", "lower", "upper").coalesce(FIT_TASKS)
 
     def tally(within: list[int] | None) -> pd.DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f, pairs, y, seen in _opened(batches):
-                size = pairs.reshape(-1, 2)
-                value = np.repeat(np.column_stack([1 / np.sqrt(size.sum(1)), np.ones(len(size))]).ravel(), pairs).astype(np.float32)
-                rank = _ranks(_score((f, np.r_[0, np.cumsum(size.sum(1), dtype=np.int64)], value), *shared.value))
+            w, bias = shared.value
+            for f, runs, y, seen in _opened(batches):
+                unit = _units(runs, len(y)).astype(np.float32).ravel()
+                said = _sums((w[f] * np.repeat(np.tile(unit, len(runs) // len(unit)), runs)).astype(float), runs)
+                rank = _ranks(said.reshape(-1, len(y), 2).sum((0, 2)).astype(np.float32) + bias)  # as _score
                 part = pd.DataFrame({"rank": rank >> 16 if within is None else rank, "residue": seen * y, "seen": seen, "labels": y.astype(np.int64)})
                 yield part if within is None else part[np.isin(rank >> 16, within)]
 

@@ -127,3 +127,39 @@ def test_every_labelled_segment_counts(spark):
         got = R.held_out_score(R._blocks(rows).filter("held"), weights, b, precision)
         assert got["threshold"] == pytest.approx(R.least_score(z, y, np.ones(len(y)), precision), abs=1e-4)
         assert got["recall"] == pytest.approx((y & (z > got["threshold"])).sum() / y.sum(), abs=0.01)
+
+
+def test_phrases_are_looked_for_where_they_can_stand(monkeypatch):
+    """One segment of a text has a trigger: the others aren't searched, and none loses its label."""
+    odd = ["foo\tbar\tabc", "test\u00a0test\u00a0test", "Project  :", "client\t: -", "\u017fession has expired", "Cl\u0131ck to add", "ONLY", "only", "Test test foo", "abc test test", "Revision :", "The only wall."]
+    for x in [*odd, *REAL, *BAD]:
+        assert R._phrase(x, True) or not R._PHRASES.search(x), x
+    looked = []
+    monkeypatch.setattr(R, "_PHRASES", type("", (), {"search": lambda self, x, own=R._PHRASES: looked.append(x) or own.search(x)})())
+    text = " ".join(f"The wall of room {i} is high." for i in range(50)) + " Click here to add it. The end."
+    hot = R._triggered(text)
+    assert [s for s, _ in R._cut(text) if R._phrase(s, hot)] == looked == ["Click here to add it."]
+
+
+def test_few_passes_to_the_optimum(monkeypatch):
+    """Common and rare words: few costs are asked for, and the last is a least one."""
+    rng = np.random.default_rng(5)
+    words = np.minimum(rng.zipf(1.3, (4000, 12)), 3000)
+    seg = [(" ".join(f"{chr(97 + w % 26)}{chr(97 + w // 26 % 26)}{chr(97 + w // 676)}" for w in row), 1) for row in words]
+    y = (words % 97 == 5).any(1)
+    costs = []
+    slopes = R._slopes
+    monkeypatch.setattr(R, "_slopes", lambda *a: costs.append(slopes(*a)[0] / R._WHOLE + R._RIDGE / 2 * float((a[-1][:-1] ** 2).sum())) or slopes(*a))
+    R.fit_classifier(seg, y, np.ones(len(seg)))
+    assert len(costs) <= 45 and costs[-1] < 0.0207  # unscaled slopes take 78
+
+
+def test_stored_features_are_small_and_whole(spark):
+    """Blocks hold two bytes a feature, and give the segments' own features and scores."""
+    rows = spark.createDataFrame([(f"r{i}", f"h{i}", "real", "k", (REAL + BAD)[i % 19] + f" w{i}x") for i in range(200)], "record_id string, host string, status string, kind string, text string")
+    blocks = R._blocks(rows)
+    got = list(R._opened(iter([blocks.toPandas()]), 3))
+    seg = {(s, p) for r in rows.collect() for s, p in R._cut(r.text)}
+    f, _, _ = R._Hasher()(sorted(seg))
+    assert sum(len(x) for x, *_ in got) == len(f) and np.array_equal(np.sort(np.concatenate([x for x, *_ in got])), np.sort(f))
+    assert blocks.selectExpr("sum(length(lower) + length(upper)) n").first().n == 2 * len(f)
